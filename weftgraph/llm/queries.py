@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, token_output
 from .common import table
 
 
@@ -16,8 +16,26 @@ def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sorted_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op5_sorted_token_table": op5_sorted_token_table,
     "op6_pareto_mix": op6_pareto_mix,
+    "op7_chunked_bpe": op7_chunked_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
