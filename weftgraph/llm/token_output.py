@@ -35,10 +35,15 @@ class PieceEncoder:
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
+        size = self._tokenizer.get_vocab_size()
+        space = self._tokenizer.encode(" x", add_special_tokens=False).tokens[0][0]
+        #: Ids of tokens that begin with a space.
+        self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
         self._cut = re.compile(r" (?=\S)").split
         self._odd = re.compile(r" (?:\s|\Z)").search
         self._cache: dict[str, bytes] = {}
@@ -58,20 +63,44 @@ class PieceEncoder:
         parts[0] = " " + parts[0]
         return parts
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        """Encode pieces. Words of letters alone are one pre-token each, with its space first, so many go as one
+        text whose ids are cut again before each token that begins with a space."""
         import numpy as np
 
+        words = [p for p in pieces if p.isalpha()]
+        for k in range(0, len(words), 400):
+            some = words[k : k + 400]
+            ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            starts = (np.flatnonzero(self._spaced[ids]) * 2).tolist()
+            raw = ids.tobytes()
+            into.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+        rest = [p for p in pieces if not p.isalpha()]
+        for k in range(0, len(rest), 20_000):
+            some = rest[k : k + 20_000]
+            for p, e in zip(some, self._tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in some], add_special_tokens=False), strict=True):
+                into[p] = np.array(e.ids, "<u2").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         cache, cut = self._cache, [self._pieces(t or "") for t in texts]
         new = set().union(*cut).difference(cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = set().union(*cut)
-        order = list(new)
-        for k in range(0, len(order), 20_000):
-            some = order[k : k + 20_000]
-            for p, e in zip(some, self._tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in some], add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        # A word and the full stop or comma after it are two pre-tokens.
+        ended = [p for p in new if len(p) > 2 and p[-1] in ".," and p[:-1].isalpha()]
+        bare = {p[:-1] for p in ended}.difference(cache)
+        self._learn(list(new.difference(ended).union(bare)), cache)
+        marks = {m: self._mark(m) for m in ".,"}
+        for p in ended:
+            cache[p] = cache[p[:-1]] + marks[p[-1]]
+        out = [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        if len(cache) > CACHE:  # what came first stays: the frequent pieces are among it
+            for p in new.union(bare):
+                del cache[p]
+        return out
+
+    def _mark(self, mark: str) -> bytes:
+        import numpy as np
+
+        return np.array(self._tokenizer.encode(mark, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def _images(tokenizer_path: str, file_bytes: int):
