@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, token_output
-from .common import table
+from . import bpe, exact_dedup, lang_id, mixing, quality, token_output
+from .common import fold, table
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(mod: int, rest: int):
+    return F.coalesce(fold(F.col("doc_id"), mod) == rest, F.lit(False)).alias("held_out")
+
+
+def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_report(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(4, 2), "score", "predicted")
+
+
+def op9_chain_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_id.language_report(docs, lang_id.learn(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score")
+
+
 def op5_sorted_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -33,9 +49,11 @@ def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bradley_terry_quality": op3_bradley_terry_quality,
     "op5_sorted_token_table": op5_sorted_token_table,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_chunked_bpe": op7_chunked_bpe,
+    "op9_chain_language": op9_chain_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
