@@ -5,7 +5,8 @@ most ``FILE_BYTES`` (a single larger document has a file of its own), so memory
 
 Encoding asks the tokenizers library only for pieces not met before: a byte-level BPE never merges across
 pre-tokens, and just before a space that a non-space follows there always is a pre-token boundary, so the
-text may be cut there and each piece be encoded once per worker.
+text may be cut there, and around a lone line feed, and each piece be encoded once per worker. A text in which
+white space meets white space is encoded as a whole.
 
 Defined results: null text counts as empty (the end id alone); a null doc_id comes first; repeated rows
 follow one another, each with its own start; an empty table gives an empty result; strings of special
@@ -15,6 +16,7 @@ tokens in a text are ordinary text; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from .common import broadcast_if_small, materialize, scratch_dir, text_slices, w
 
 END_ID = 0
 FILE_BYTES = 8_000_000
-CACHE = 500_000
+CACHE = 350_000
 
 
 class PieceEncoder:
@@ -44,8 +46,7 @@ class PieceEncoder:
         space = self._tokenizer.encode(" x", add_special_tokens=False).tokens[0][0]
         #: Ids of tokens that begin with a space.
         self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
-        self._cut = re.compile(r" (?=\S)").split
-        self._odd = re.compile(r" (?:\s|\Z)").search
+        self._signs = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch
         self._cache: dict[str, bytes] = {}
 
     @classmethod
@@ -56,52 +57,59 @@ class PieceEncoder:
         return own[tokenizer_path]
 
     def _pieces(self, text: str) -> list[str]:
-        """Pieces between spaces that a non-space follows. The first has no space before it and is marked by one."""
-        parts = text.split(" ")
-        if "" in parts or self._odd(text):
-            parts = self._cut(text)
+        """The text cut before each space and line feed; a piece has lost its space. The first has nothing before it and is marked by a space."""
+        parts = text.replace("\n", " \n").split(" ")
         parts[0] = " " + parts[0]
         return parts
 
+    @staticmethod
+    def _unsure(piece: str) -> bool:
+        """Whether white space meets white space at an end of this piece, so that its cut may be no boundary."""
+        return not piece or piece[-1:].isspace() and piece != " " or piece[piece[0] in " \n" :][:1].isspace()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, "<u2").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
         """Encode pieces. Words of letters alone are one pre-token each, with its space first, so many go as one
-        text whose ids are cut again before each token that begins with a space."""
+        text whose ids are cut again before each token that begins with a space. Signs after a word are one
+        pre-token of their own."""
         import numpy as np
 
         words = [p for p in pieces if p.isalpha()]
+        ended = [(p, m) for p in pieces if not p.isalpha() and (m := self._signs(p)) and m[1].isalpha()]
+        words += {m[1] for _, m in ended}.difference(words).difference(filter(into.__contains__, (m[1] for _, m in ended)))
         for k in range(0, len(words), 400):
             some = words[k : k + 400]
             ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             starts = (np.flatnonzero(self._spaced[ids]) * 2).tolist()
             raw = ids.tobytes()
             into.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
-        rest = [p for p in pieces if not p.isalpha()]
-        for k in range(0, len(rest), 20_000):
-            some = rest[k : k + 20_000]
-            for p, e in zip(some, self._tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in some], add_special_tokens=False), strict=True):
-                into[p] = np.array(e.ids, "<u2").tobytes()
+        signs = list({m[2] for _, m in ended})
+        sign = dict(zip(signs, self._encode(signs), strict=True))
+        into.update((p, into[m[1]] + sign[m[2]]) for p, m in ended)
+        rest = [p for p in pieces if p not in into]
+        into.update(zip(rest, self._encode([p[1:] if p[:1] == " " else p if p[:1] == "\n" else " " + p for p in rest]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        from itertools import chain, filterfalse
+
         cache, cut = self._cache, [self._pieces(t or "") for t in texts]
-        new = set().union(*cut).difference(cache)
-        # A word and the full stop or comma after it are two pre-tokens.
-        ended = [p for p in new if len(p) > 2 and p[-1] in ".," and p[:-1].isalpha()]
-        bare = {p[:-1] for p in ended}.difference(cache)
-        self._learn(list(new.difference(ended).union(bare)), cache)
-        marks = {m: self._mark(m) for m in ".,"}
-        for p in ended:
-            cache[p] = cache[p[:-1]] + marks[p[-1]]
-        out = [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        size = len(cache)
+        new = set(filterfalse(cache.__contains__, chain.from_iterable(cut)))
+        unsure = set(filter(self._unsure, new))
+        self._learn(list(new - unsure), cache)
+        whole = {i for i, parts in enumerate(cut) if unsure and not unsure.isdisjoint(parts)}
+        out = [b"" if i in whole else b"".join(map(cache.__getitem__, parts)) for i, parts in enumerate(cut)]
+        for i in whole:
+            out[i] = self._encode([texts[i]])[0]
         if len(cache) > CACHE:  # what came first stays: the frequent pieces are among it
-            for p in new.union(bare):
+            for p in list(islice(reversed(cache), len(cache) - size)):
                 del cache[p]
         return out
 
-    def _mark(self, mark: str) -> bytes:
-        import numpy as np
-
-        return np.array(self._tokenizer.encode(mark, add_special_tokens=False).ids, "<u2").tobytes()
-
 
 def _images(tokenizer_path: str, file_bytes: int):
     def run(batches: Iterator) -> Iterator:
@@ -114,7 +122,7 @@ def _images(tokenizer_path: str, file_bytes: int):
         image = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["image"])
         empty = True
         for batch in batches:
-            for part in text_slices(batch, "text", 2_000_000):
+            for part in text_slices(batch, "text", 300_000):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
                     if writer.size >= file_bytes:
                         yield image(writer)
