@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lang_id, mixing, quality, token_output
+from . import bpe, exact_dedup, html_text, lang_id, mixing, quality, token_output
 from .common import fold, table
 
 
@@ -33,6 +33,10 @@ def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2), "score", "predicted")
 
 
+def op8_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.text_report(table(spark, sf_dir, "pages"))
+
+
 def op9_chain_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lang_id.language_report(docs, lang_id.learn(docs)).select("doc_id", held_out(5, 0), "lang_pred", "score")
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_sorted_token_table": op5_sorted_token_table,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_chunked_bpe": op7_chunked_bpe,
+    "op8_site_template_text": op8_site_template_text,
     "op9_chain_language": op9_chain_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
