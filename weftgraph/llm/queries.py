@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, lang_id, mixing, quality, token_output
+from . import bpe, exact_dedup, html_text, lang_id, mixing, near_dedup, quality, token_output
 from .common import fold, table
 
 
@@ -33,6 +33,10 @@ def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2), "score", "predicted")
 
 
+def op4_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.text_report(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bradley_terry_quality": op3_bradley_terry_quality,
+    "op4_dart_near_dedup": op4_dart_near_dedup,
     "op5_sorted_token_table": op5_sorted_token_table,
     "op6_pareto_mix": op6_pareto_mix,
     "op7_chunked_bpe": op7_chunked_bpe,
