@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, lang_id, mixing, near_dedup, quality, token_output
+from . import ann, bpe, exact_dedup, html_text, lang_id, mixing, near_dedup, pii, quality, token_output
 from .common import fold, table
 
 
@@ -33,6 +33,10 @@ def op3_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2), "score", "predicted")
 
 
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(table(spark, sf_dir, "documents"), pii.train())
+
+
 def op2_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -61,6 +65,7 @@ def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_semi_markov_pii": op1_semi_markov_pii,
     "op2_pruned_graph_neighbours": op2_pruned_graph_neighbours,
     "op3_bradley_terry_quality": op3_bradley_terry_quality,
     "op4_dart_near_dedup": op4_dart_near_dedup,
