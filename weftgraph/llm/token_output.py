@@ -16,7 +16,6 @@ tokens in a text are ordinary text; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ from .common import broadcast_if_small, materialize, scratch_dir, text_slices, w
 END_ID = 0
 FILE_BYTES = 8_000_000
 CACHE = 350_000
+#: Signs that never join a word before them: no letter, number, space or low line.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
 
 class PieceEncoder:
@@ -34,7 +35,6 @@ class PieceEncoder:
 
     def __init__(self, tokenizer_path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
@@ -42,11 +42,12 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
-        size = self._tokenizer.get_vocab_size()
-        space = self._tokenizer.encode(" x", add_special_tokens=False).tokens[0][0]
-        #: Ids of tokens that begin with a space.
-        self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
-        self._signs = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch
+        if hasattr(self._tokenizer.model, "_resize_cache"):
+            self._tokenizer.model._resize_cache(0)  # new words only come here, so its own cache can't help
+        space, feed = (self._tokenizer.encode(x, add_special_tokens=False).tokens[0][0] for x in (" x", "\nx"))
+        #: By id: tokens that begin with a space or a line feed.
+        self._begins = np.array([(self._tokenizer.id_to_token(i) or "").startswith((space, feed)) for i in range(self._tokenizer.get_vocab_size())])
+        self._sign: dict[str, bytes] = {}
         self._cache: dict[str, bytes] = {}
 
     @classmethod
@@ -72,42 +73,58 @@ class PieceEncoder:
 
         return [np.array(e.ids, "<u2").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        """Encode pieces. Words of letters alone are one pre-token each, with its space first, so many go as one
-        text whose ids are cut again before each token that begins with a space. Signs after a word are one
-        pre-token of their own."""
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode new pieces. A space or a line feed and the letters after it always begin a token, so many such words
+        go as one text whose ids are cut again before those tokens. Signs after a word are one pre-token of their own."""
         import numpy as np
 
-        words = [p for p in pieces if p.isalpha()]
-        ended = [(p, m) for p in pieces if not p.isalpha() and (m := self._signs(p)) and m[1].isalpha()]
-        words += {m[1] for _, m in ended}.difference(words).difference(filter(into.__contains__, (m[1] for _, m in ended)))
-        for k in range(0, len(words), 400):
-            some = words[k : k + 400]
-            ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u2")
-            starts = (np.flatnonzero(self._spaced[ids]) * 2).tolist()
-            raw = ids.tobytes()
-            into.update(zip(some, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
-        signs = list({m[2] for _, m in ended})
-        sign = dict(zip(signs, self._encode(signs), strict=True))
-        into.update((p, into[m[1]] + sign[m[2]]) for p, m in ended)
-        rest = [p for p in pieces if p not in into]
-        into.update(zip(rest, self._encode([p[1:] if p[:1] == " " else p if p[:1] == "\n" else " " + p for p in rest]), strict=True))
+        known, out, words, signed, rest = self._cache.get, {}, [], [], []
+        for p in pieces:
+            w = p.rstrip(SIGNS)
+            if not (w.isalpha() or w[:1] == "\n" and w[1:].isalpha()):
+                rest.append(p)
+            elif len(w) == len(p):
+                words.append(p)
+            else:
+                signed.append((p, w, known(w)))
+        words += {w for _, w, ids in signed if ids is None}.difference(words)
+        for glue, some in ((" ", [w for w in words if w[0] != "\n"]), ("", [w for w in words if w[0] == "\n"])):
+            for k in range(0, len(some), 200):
+                part = some[k : k + 200]
+                ids = np.array(self._tokenizer.encode_batch_fast([glue + glue.join(part)], add_special_tokens=False)[0].ids, "<u2")
+                starts = (np.flatnonzero(self._begins[ids]) * 2).tolist()
+                raw = ids.tobytes()
+                out.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+        new = list({p[len(w) :] for p, w, _ in signed}.difference(self._sign))
+        self._sign.update(zip(new, self._encode(new), strict=True))
+        for p, w, ids in signed:
+            out[p] = (ids or out[w]) + self._sign[p[len(w) :]]
+        out.update(zip(rest, self._encode([p[1:] if p[:1] == " " else p if p[:1] == "\n" else " " + p for p in rest]), strict=True))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        from itertools import chain, filterfalse
+        from itertools import chain, compress
+        from operator import not_
 
         cache, cut = self._cache, [self._pieces(t or "") for t in texts]
-        size = len(cache)
-        new = set(filterfalse(cache.__contains__, chain.from_iterable(cut)))
+        flat = list(chain.from_iterable(cut))
+        found = list(map(cache.get, flat))
+        missing = list(compress(range(len(flat)), map(not_, found)))
+        new = {flat[i] for i in missing}
         unsure = set(filter(self._unsure, new))
-        self._learn(list(new - unsure), cache)
-        whole = {i for i, parts in enumerate(cut) if unsure and not unsure.isdisjoint(parts)}
-        out = [b"" if i in whole else b"".join(map(cache.__getitem__, parts)) for i, parts in enumerate(cut)]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
-        if len(cache) > CACHE:  # what came first stays: the frequent pieces are among it
-            for p in list(islice(reversed(cache), len(cache) - size)):
-                del cache[p]
+        learned = self._learn(list(new - unsure))
+        for i in missing:
+            found[i] = learned.get(flat[i], b"")
+        if len(cache) + len(learned) <= CACHE:  # what came first stays: the frequent pieces are among it
+            cache.update(learned)
+        out, at = [], 0
+        for i, parts in enumerate(cut):
+            to = at + len(parts)
+            whole = unsure and not unsure.isdisjoint(parts)
+            out.append(self._encode([texts[i]])[0] if whole else b"".join(found[at:to]))
+            at = to
+        if len(self._sign) > 10_000:
+            self._sign.clear()
         return out
 
 
