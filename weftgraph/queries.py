@@ -138,8 +138,13 @@ def mutate_vertices(s, d):
     return convert.remove_vertices(vertices(e), e, vertices(e).filter("id % 11 = 0"))[0]
 
 
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Unassigned as -1."""
+    return df.withColumns({c: F.coalesce(c, F.lit(-1)) for c in columns})
+
+
 def reset_labels(s, d):
-    return convert.reset_labels(fixtures.labels_mod(vertices(fixtures.user_flow(s, d)), K))
+    return _shown(convert.reset_labels(fixtures.labels_mod(vertices(fixtures.user_flow(s, d)), K)), "part")
 
 
 def friends_list(s, d):
@@ -216,7 +221,7 @@ def _hub(s, d):
 
 
 def init_hub(s, d):
-    return _hub(s, d)[2]
+    return _shown(_hub(s, d)[2], "part")
 
 
 def repartition_grow(s, d):
@@ -307,7 +312,7 @@ def _first_partition(s, d):
 
 
 def lp_first_partition(s, d):
-    return _first_partition(s, d).select("id", "cur", "nxt")
+    return _shown(_first_partition(s, d).select("id", "cur", "nxt"), "cur", "nxt")
 
 
 def lp_first_migration(s, d):
