@@ -25,7 +25,7 @@ CHUNK = 16_384
 OVERLAP = 256
 LONG = 2 * CHUNK
 #: Pre-tokens a worker remembers before it starts anew.
-CACHE = 600_000
+CACHE = 300_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

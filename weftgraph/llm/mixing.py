@@ -101,15 +101,19 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies
     return materialize(full, "mix-cuts"), n_sources
 
 
-def copies(u: Column, doc_id: Column) -> Column:
-    """How often a document is taken, next to the columns of its source's plan."""
-    q = odds_rank(u, F.col("pi"))
+def copies(u: Column, doc_id: Column, plan: Column) -> Column:
+    """How often a document is taken by its source's plan, a struct of the plan's columns."""
+    q = odds_rank(u, plan["pi"])
     at = q / (q + 1) * BINS
     b1, b2 = F.floor(at), F.floor((at - F.floor(at)) * BINS)
-    inside = F.when(F.col("cut").isNull(), F.lit(False)).otherwise((q < F.col("cut.q")) | ((q == F.col("cut.q")) & (doc_id.isNull() | F.coalesce(doc_id <= F.col("cut.doc_id"), F.lit(False)))))
-    taken = (b1 < F.col("cut_b1")) | ((b1 == F.col("cut_b1")) & ((b2 < F.col("cut_b2")) | ((b2 == F.col("cut_b2")) & inside)))
-    drawn = (F.col("pi") > 0) & (F.col("pi") < 1) & F.coalesce(taken, F.lit(False))
-    return F.col("whole") + F.when(drawn, 1).otherwise(0)
+    cut_q, cut_id = plan["cut"]["q"], plan["cut"]["doc_id"]
+    inside = F.when(plan["cut"].isNull(), F.lit(False)).otherwise((q < cut_q) | ((q == cut_q) & (doc_id.isNull() | F.coalesce(doc_id <= cut_id, F.lit(False)))))
+    taken = (b1 < plan["cut_b1"]) | ((b1 == plan["cut_b1"]) & ((b2 < plan["cut_b2"]) | ((b2 == plan["cut_b2"]) & inside)))
+    drawn = (plan["pi"] > 0) & (plan["pi"] < 1) & F.coalesce(taken, F.lit(False))
+    return plan["whole"] + F.when(drawn, 1).otherwise(0)
+
+
+PLAN = ("whole", "pi", "cut_b1", "cut_b2", "cut")
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
@@ -118,7 +122,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = materialize(sized, "mix-sizes")
     plan, n = mixing_plan(sized, weights, max_copies)
     plan = broadcast_if_small(plan, n)
-    out = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).withColumn("copies", copies(F.col("u"), F.col("doc_id")))
+    out = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).withColumn("copies", copies(F.col("u"), F.col("doc_id"), F.struct(*PLAN)))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -126,8 +130,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of docs, each as often as the mix takes it."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"))
     plan, n = mixing_plan(materialize(sized, "mix-sizes"), weights, max_copies)
-    plan = broadcast_if_small(plan.select(F.col("source").alias("__source"), "whole", "pi", "cut_b1", "cut_b2", "cut"), n)
-    out = docs.join(plan, docs[source_col].eqNullSafe(F.col("__source")))
-    n_copies = copies(uniform(docs[id_col], seed), docs[id_col])
-    out = out.withColumn("__copies", n_copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    plan = broadcast_if_small(plan.select(F.col("source").alias("__mix_source"), F.struct(*PLAN).alias("__mix_plan")), n)
+    out = docs.join(plan, docs[source_col].eqNullSafe(F.col("__mix_source")))
+    out = out.withColumn("__mix_copies", copies(uniform(docs[id_col], seed), docs[id_col], F.col("__mix_plan"))).filter("__mix_copies > 0")
+    return out.withColumn("__mix_copies", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)

@@ -95,8 +95,10 @@ def fit(rows, labels, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) ->
     """Newton's method on the pairwise loss."""
     import numpy as np
 
+    if not len(labels):
+        return Ranker()
     x, y = np.asarray(rows, float).reshape(len(labels), -1), np.asarray(labels, int)
-    base = float(y.mean()) if len(y) else 0.5
+    base = float(y.mean())
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranker(base=base)
