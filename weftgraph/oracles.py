@@ -77,7 +77,7 @@ def choice(tag_step: int, labelled_only: bool = False) -> str:
 
 FIRST = ", ".join((TOTALS, COUNTS, scored("edge"), choice(1)))
 ASKS = "d AS (SELECT nxt AS label, count(*) AS requests, sum(out_deg)::BIGINT AS demand FROM x JOIN g USING (id) WHERE nxt <> cur GROUP BY nxt)"
-CHANCE = f"""ch AS (SELECT lo.label, CASE WHEN demand IS NULL OR load >= cap THEN 0 ELSE least(1.0::DOUBLE, (cap - load)::DOUBLE / demand) END AS p
+CHANCE = f"""ch AS (SELECT lo.label, CASE WHEN coalesce(demand, 0) = 0 OR load >= cap THEN 0 ELSE least(1.0::DOUBLE, (cap - load)::DOUBLE / demand) END AS p
     FROM (SELECT *, floor((SELECT e FROM t) * 1.05::DOUBLE / {K} + 0.5)::BIGINT AS cap FROM lo) lo LEFT JOIN d USING (label)),
   ad AS (SELECT x.id, cur, nxt, nxt <> cur AND {u(1, 1, 'admit', 'x.id')} < p AS moved FROM x JOIN ch ON ch.label = x.nxt)"""
 HUB = f"l AS (SELECT id, CASE WHEN out_deg > (SELECT ceil(sum(out_deg) / count(*)) FROM g) THEN floor({u(1, 0, 'hub', 'id')} * {K})::INT END AS part FROM g)"

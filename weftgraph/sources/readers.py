@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.convert import with_reverse
+
 SEPARATOR = "[\t ]+"
 WIDE_SEPARATOR = "[\u0001\t ]+"
 
@@ -80,7 +82,7 @@ def read_edge_list(spark: SparkSession, path: str, third: str | None = None, def
     elif default is not None:
         columns.append(F.lit(default).alias("value"))
     e = f.select(*columns)
-    return e.unionByName(e.withColumnsRenamed({"src": "dst", "dst": "src"})) if reverse else e
+    return with_reverse(e) if reverse else e
 
 
 #: The edge-list formats by name.
