@@ -137,6 +137,9 @@ def build_graph(vectors, degree: int = DEGREE, beam: int = BEAM):
         src = np.repeat(batch, degree)
         dst = graph[batch].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
+        done += len(batch)
+        if not len(dst):  # a single vector
+            continue
         by = np.lexsort((src, dst))
         src, dst = src[by], dst[by]
         heads, first, counts = np.unique(dst, return_index=True, return_counts=True)
@@ -153,7 +156,6 @@ def build_graph(vectors, degree: int = DEGREE, beam: int = BEAM):
         graph[heads[fits]] = packed
         if not fits.all():
             graph[heads[~fits]] = robust_prune(heads[~fits], both[~fits], points, degree)
-        done += len(batch)
     return graph, entries
 
 

@@ -43,8 +43,8 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def odds_rank(u: Column, pi: Column) -> Column:
-    """Pareto's ranking variable; pi must lie in (0, 1)."""
-    return (u / (F.lit(1.0) - u)) / (pi / (F.lit(1.0) - pi))
+    """Pareto's ranking variable; null unless pi lies in (0, 1)."""
+    return F.try_divide(u / (F.lit(1.0) - u), F.try_divide(pi, F.lit(1.0) - pi))
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:

@@ -83,7 +83,7 @@ class Ranker:
     def score(self, rows):
         import numpy as np
 
-        if not self.weights:
+        if not self.weights or not len(rows):
             return np.full(len(rows), self.base)
         z = np.clip((np.asarray(rows, float).reshape(len(rows), -1) - self.mean) / self.scale, -8, 8)
         s = (z * np.asarray(self.weights)).sum(1) - self.threshold
