@@ -25,10 +25,13 @@ class Result:
     facts: dict = field(default_factory=dict)
 
 
-def _loads(o: lp.Objective, labels: DataFrame, degree: DataFrame) -> list[int]:
-    rows = labels.filter("part IS NOT NULL").join(degree, "id").groupBy("part").agg(F.sum(o.load).cast("long").alias("load")).collect()  # at most k
+def loads_of(o: lp.Objective, state: DataFrame) -> tuple[list[int], int, float]:
+    """The k loads, and the moves and the score of the step that made this state. At most k + 1 rows come to the driver."""
+    moved = F.sum(F.col("moved").cast("long")) if "moved" in state.columns else F.lit(0)
+    score = F.sum("h_cur") if "h_cur" in state.columns else F.lit(0.0)
+    rows = state.groupBy("part").agg(F.sum(o.load).cast("long").alias("load"), moved.alias("moved"), score.alias("score")).collect()
     found = {r.part: r.load for r in rows}
-    return [found.get(i, 0) for i in range(o.k)]
+    return [found.get(i, 0) for i in range(o.k)], sum(r.moved for r in rows), float(sum(r.score for r in sorted(rows, key=lambda r: (r.part is not None, r.part))))
 
 
 def partition(edges: DataFrame, objective: lp.Objective, init: str | Sampling = "hub", seed: int = 1, limit: int = 290, window: int = 3, threshold: float = 0.001, start: DataFrame | None = None, change: int = 0) -> Result:
@@ -37,7 +40,7 @@ def partition(edges: DataFrame, objective: lp.Objective, init: str | Sampling =
     init: ``uniform``, ``hub``, ``given`` (labels start, with change parts more or fewer: objective.k counts the
     parts after it) or a Sampling. Vertices act only if a neighbour moved in the step before."""
     o, began = objective, time.time()
-    sym = cut(symmetrize(dedup(edges)).repartition("dst"), "lp-sym")
+    sym = cut(symmetrize(dedup(edges)), "lp-sym")
     degree = cut(degrees(sym), "lp-deg")
     e, s, v = degree.agg(F.sum("out_deg"), F.sum("sym_deg"), F.count(F.lit(1))).first()
     capacity = o.capacity(e, s, v)
@@ -55,24 +58,23 @@ def partition(edges: DataFrame, objective: lp.Objective, init: str | Sampling =
         labels = degree.select("id").join(labels, "id", "left")
     else:
         raise ValueError(f"no initialiser {init}")
-    labels = cut(labels, "lp-init")
+    state = cut(labels.join(degree.select("id", *lp.DEGREES), "id"), "lp-init")
     sampled = time.time()
-    if init != "uniform" and not labels.filter("part IS NULL").isEmpty():
-        counts = lp.label_counts(sym, labels, o.k)
-        chosen = lp.choose(o, counts, labels, _loads(o, labels, degree), capacity, v, seed, 0, labelled_only=True)
-        labels = cut(lp.first_migration(chosen, o.k, seed), "lp-first")
+    if init != "uniform" and not state.filter("part IS NULL").isEmpty():
+        chosen = lp.choose(o, lp.label_counts(sym, state, o.k), state, loads_of(o, state)[0], capacity, v, seed, 0, labelled_only=True)
+        state = cut(lp.first_migration(chosen, o.k, seed).join(degree.select("id", *lp.DEGREES), "id"), "lp-first")
     first, history, moves, steps, total = time.time(), deque(maxlen=window), 0, 0, 0.0
-    moved = None
+    loads = loads_of(o, state)[0]
     for step in range(1, limit + 1):
-        loads = _loads(o, labels, degree)
-        chosen = cut(lp.choose(o, lp.label_counts(sym, labels, o.k, moved), labels, loads, capacity, v, seed, step), "lp-choice")
-        wanted = {r.label: r.demand for r in lp.demand(o, chosen, degree).collect()}  # at most k
-        new = cut(lp.admit(chosen, lp.chances(loads, wanted, capacity), seed, step), "lp")
-        n, total = new.agg(F.sum(F.col("moved").cast("long")), F.sum("h_cur")).first()
-        labels, moved, moves, steps = new.select("id", "part"), new.filter("moved").select("id"), moves + n, step
+        chosen = cut(lp.choose(o, lp.label_counts(sym, state, o.k), state, loads, capacity, v, seed, step), "lp-choice")
+        wanted = {r.label: r.demand for r in lp.demand(o, chosen).collect()}  # at most k
+        state = lp.admit(chosen, lp.chances(loads, wanted, capacity), seed, step)  # a projection of what was written
+        loads, n, total = loads_of(o, state)
+        moves, steps = moves + n, step
         if len(history) == window and max(history) > 0 and abs(1 - total / max(history)) < threshold or not n:
             break
         history.append(total)
+    labels = state.select("id", "part")
     end = time.time()
     facts = {
         "ALGORITHM": init.kind if isinstance(init, Sampling) else init, "OBJECTIVE": o.kind, "LP CYCLES": steps, "TOT MIGRATIONS": moves, "REAL SCORE": total,

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import ceil3, uniform
 
 
+DEGREES = ("out_deg", "sym_deg")
+
+
 @dataclass(frozen=True)
 class Objective:
     """kind: ``edge`` (loads are real out-edges), ``vertex`` (loads are vertices) or ``baseline`` (symmetric edges)."""
@@ -33,16 +36,13 @@ class Objective:
         return {"edge": F.col("out_deg"), "vertex": F.lit(1), "baseline": F.col("sym_deg")}[self.kind]
 
 
-def label_counts(sym: DataFrame, labels: DataFrame, k: int, moved: DataFrame | None = None) -> DataFrame:
+def label_counts(sym: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """id, total, real_total, s0.. (edges to neighbours of each label), r0.. (real ones), heard.
 
-    Neighbours without a label count in total only. heard: some neighbour is in moved."""
-    named = labels.select(F.col("id").alias("dst"), F.col("part").alias("pd"))
-    e = sym.join(named, "dst")
-    heard = F.lit(True)
-    if moved is not None:
-        e = e.join(moved.select(F.col("id").alias("dst"), F.lit(True).alias("m")), "dst", "left")
-        heard = F.coalesce(F.max("m"), F.lit(False))
+    Neighbours without a label count in total only. heard: some neighbour moved, if labels tell who did."""
+    tells = "moved" in labels.columns
+    e = sym.join(labels.select(F.col("id").alias("dst"), F.col("part").alias("pd"), *([F.col("moved").alias("m")] if tells else [])), "dst")
+    heard = F.coalesce(F.max("m"), F.lit(False)) if tells else F.lit(True)
     real = ~F.col("is_virtual")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return e.groupBy(F.col("src").alias("id")).agg(
@@ -74,10 +74,11 @@ def scores(o: Objective, counts: DataFrame, loads: list[int], capacity: int, ver
 
 
 def choose(o: Objective, counts: DataFrame, labels: DataFrame, loads: list[int], capacity: int, vertices: int, seed: int, step: int, labelled_only: bool = False) -> DataFrame:
-    """id, cur, nxt, h_cur: the label of largest score; ties keep the current one, else a hash draws.
+    """id, cur, nxt, h_cur, heard: the label of largest score; ties keep the current one, else a hash draws.
 
-    labelled_only: labels that no neighbour has are no choice, and without any there is none (first step)."""
-    rows = counts.join(labels.select("id", F.col("part").alias("cur")), "id")
+    Degrees that labels carry go along. labelled_only: labels that no neighbour has are no choice, and without any there is none (first step)."""
+    carried = [c for c in DEGREES if c in labels.columns]
+    rows = counts.join(labels.select("id", F.col("part").alias("cur"), *carried), "id")
     one = []
     for i in range(o.k):
         h = score(o, i, loads, capacity, vertices)
@@ -86,12 +87,12 @@ def choose(o: Objective, counts: DataFrame, labels: DataFrame, loads: list[int],
         one.append(F.when(F.col(f"s{i}") > 0, x) if labelled_only else x)
     best = F.array_max(F.array(*one))
     own = F.element_at(F.array(*[score(o, i, loads, capacity, vertices) for i in range(o.k)]), F.col("cur") + 1)
-    return rows.withColumn("best", best).select("id", "cur", (-F.col("best.neg")).alias("nxt"), F.when(F.col("cur").isNull(), 0.0).otherwise(own).alias("h_cur"), "heard")
+    return rows.withColumn("best", best).select("id", "cur", (-F.col("best.neg")).alias("nxt"), F.when(F.col("cur").isNull(), 0.0).otherwise(own).alias("h_cur"), "heard", *carried)
 
 
-def demand(o: Objective, chosen: DataFrame, degree: DataFrame) -> DataFrame:
+def demand(o: Objective, chosen: DataFrame) -> DataFrame:
     """label, requests, demand (in the unit of the loads) of vertices that want to move and heard something."""
-    asks = chosen.filter("heard AND nxt IS NOT NULL AND (cur IS NULL OR nxt <> cur)").join(degree.select("id", "out_deg", "sym_deg"), "id")
+    asks = chosen.filter("heard AND nxt IS NOT NULL AND (cur IS NULL OR nxt <> cur)")
     return asks.groupBy(F.col("nxt").alias("label")).agg(F.count(F.lit(1)).alias("requests"), F.sum(o.load).cast("long").alias("demand"))
 
 
@@ -101,11 +102,11 @@ def chances(loads: list[int], demands: dict[int, int], capacity: int) -> list[fl
 
 
 def admit(chosen: DataFrame, chance: list[float], seed: int, step: int) -> DataFrame:
-    """id, cur, nxt, h_cur, part (the label after migration), moved."""
+    """id, cur, nxt, h_cur, part (the label after migration), moved, and the degrees."""
     p = F.element_at(F.array(*[F.lit(float(c)) for c in chance]), F.col("nxt") + 1)
     asks = F.col("heard") & F.col("nxt").isNotNull() & (F.col("cur").isNull() | (F.col("nxt") != F.col("cur")))
     moved = F.coalesce(asks & (uniform(seed, step, "admit", F.col("id")) < p), F.lit(False))
-    return chosen.withColumn("moved", moved).select("id", "cur", "nxt", "h_cur", F.when(moved, F.col("nxt")).otherwise(F.col("cur")).alias("part"), "moved")
+    return chosen.withColumn("moved", moved).select("id", "cur", "nxt", "h_cur", F.when(moved, F.col("nxt")).otherwise(F.col("cur")).alias("part"), "moved", *[c for c in DEGREES if c in chosen.columns])
 
 
 def first_migration(chosen: DataFrame, k: int, seed: int) -> DataFrame:

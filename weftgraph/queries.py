@@ -256,11 +256,12 @@ def _first(s, d, o):
     sym, labels = _supply(s, d)
     g = cut(degrees(sym), "q-deg")
     e, m, n = g.agg(F.sum("out_deg"), F.sum("sym_deg"), F.count(F.lit(1))).first()
-    return lp.label_counts(sym, labels, K), labels, loop._loads(o, labels, g), o.capacity(e, m, n), n, g
+    state = labels.join(g.select("id", *lp.DEGREES), "id")
+    return lp.label_counts(sym, state, K), state, loop.loads_of(o, state)[0], o.capacity(e, m, n), n
 
 
 def _scores(s, d, o):
-    counts, _, loads, capacity, n, _ = _first(s, d, o)
+    counts, _, loads, capacity, n = _first(s, d, o)
     return _r(lp.scores(o, counts, loads, capacity, n), "score")
 
 
@@ -277,8 +278,8 @@ def lp_score_baseline(s, d):
 
 
 def _chosen(s, d, o=EDGE):
-    counts, labels, loads, capacity, n, g = _first(s, d, o)
-    return cut(lp.choose(o, counts, labels, loads, capacity, n, 1, 1), "q-choice"), loads, capacity, g
+    counts, state, loads, capacity, n = _first(s, d, o)
+    return cut(lp.choose(o, counts, state, loads, capacity, n, 1, 1), "q-choice"), loads, capacity
 
 
 def lp_argmax(s, d):
@@ -286,13 +287,12 @@ def lp_argmax(s, d):
 
 
 def lp_demand(s, d):
-    chosen, _, _, g = _chosen(s, d)
-    return lp.demand(EDGE, chosen, g)
+    return lp.demand(EDGE, _chosen(s, d)[0])
 
 
 def _admitted(s, d):
-    chosen, loads, capacity, g = _chosen(s, d)
-    wanted = {r.label: r.demand for r in lp.demand(EDGE, chosen, g).collect()}
+    chosen, loads, capacity = _chosen(s, d)
+    wanted = {r.label: r.demand for r in lp.demand(EDGE, chosen).collect()}
     return lp.admit(chosen, lp.chances(loads, wanted, capacity), 1, 1)
 
 
@@ -307,7 +307,7 @@ def lp_migrate(s, d):
 def _first_partition(s, d):
     sym, g, labels, (e, n) = _hub(s, d)
     m = g.agg(F.sum("sym_deg")).first()[0]
-    loads = loop._loads(EDGE, labels, g)
+    loads = loop.loads_of(EDGE, labels.join(g.select("id", *lp.DEGREES), "id"))[0]
     return lp.choose(EDGE, lp.label_counts(sym, labels, K), labels, loads, EDGE.capacity(e, m, n), n, 1, 0, labelled_only=True)
 
 
