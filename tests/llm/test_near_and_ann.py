@@ -98,6 +98,32 @@ def test_classes_by_brute_force(spark):
     assert sum(sizes.values()) == len(rows)
 
 
+def test_blocks_by_brute_force(spark):
+    """Groups in which hardly any two texts are linked, in blocks smaller than the groups."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(100)]
+        for i in range(60):
+            c = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                c[rng.randrange(100)] = f"x{g}-{i}-{rng.randrange(9)}"
+            rows.append((1000 * g + i, " ".join(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert len(want) > 5
+    for rounds, block in ((1, 8), (2, 1000), (1, 25)):
+        assert classes_of(near_dedup.classes(df, rounds=rounds, block=block)) == want
+
+
+def test_links_in_memory():
+    rows = corpus(40)
+    texts = [t for _, t in rows]
+    bags = [shingles(t) for t in texts]
+    i, j = near_dedup.linked(texts, 0.8)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(bags[a], bags[b]) >= 0.8]
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(150)]

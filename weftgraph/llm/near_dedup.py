@@ -15,9 +15,12 @@ shares one with probability 1 - (1 - 0.8^5)^25 > 0.9999. Texts with the same wor
 representative, so copies cost one row each. In each bucket the representative that shares most buckets with
 others is the pivot, and every other member is compared with it on the whole texts; members that end up in
 another component than their pivot are dealt with again, with a pivot of their own, for ``ROUNDS`` rounds.
-So a bucket of m texts gives at most ROUNDS (m - 1) pairs and no group is ever gathered in one task.
-Components of the verified links are the classes. A class can only miss a link between two texts neither of
-which was the other's pivot in any of the buckets they share; README has the measured rate.
+So a bucket of m texts gives at most ROUNDS (m - 1) pairs, and most groups are one component by then.
+Buckets that still hold several components are compared exactly: their members, in families of buckets that
+touch, are dealt into blocks of about ``BLOCK`` texts, the members of one large component into blocks of
+their own, and each pair of blocks but those of one component is one task, which counts shared shingles
+block against block in memory and gives only links between components. No task holds more than two blocks.
+Components of all links are the classes.
 
 Defined results: a text without words (null, empty, white space) is a class of its own; a text of fewer than
 five words is one shingle; classes are named by their smallest doc_id; rows of one doc_id that repeat are in
@@ -40,7 +43,11 @@ SIMILARITY = 0.8
 COORDINATES = 125
 ROWS = 5
 BANDS = COORDINATES // ROWS
-ROUNDS = 3
+ROUNDS = 2
+BLOCK = 1_000
+BLOCK_CHARS = 5_000_000
+#: A shingle in so many texts of two blocks is counted by matrix product, else pair by pair.
+DENSE = 24
 SLICE = 1_000_000
 
 #: Odd, so it has an inverse modulo 2^64.
@@ -225,7 +232,91 @@ def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.select("rep", "pivot", "text", "other").mapInArrow(run, "rep long, pivot long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def linked(texts: list[str], least: float):
+    """Index pairs (i < j) of texts at least so similar, by counting shared elements of all with all in memory."""
+    import numpy as np
+
+    n = len(texts)
+    parts = [elements_of(*words_of(texts[k : k + 200])) for k in range(0, n, 200)]
+    e, counts = np.concatenate([x for x, _ in parts]), np.concatenate([c for _, c in parts])
+    doc = np.repeat(np.arange(n), counts)
+    order = np.argsort(e, kind="stable")
+    e, doc = e[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+    df = np.diff(np.concatenate([first, [len(e)]]))
+    both = np.zeros((n, n), np.float32)
+    dense = np.flatnonzero(df >= DENSE)
+    for k in range(0, len(dense), 2_048):
+        some = dense[k : k + 2_048]
+        m = np.zeros((n, len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), df[some])
+        at = np.repeat(first[some], df[some]) + np.arange(len(column)) - np.repeat(np.cumsum(df[some]) - df[some], df[some])
+        m[doc[at], column] = 1
+        both += m @ m.T
+    flat = both.reshape(-1)
+    for size in range(2, DENSE):
+        some = first[df == size]
+        a, b = np.triu_indices(size, 1)
+        for k in range(0, len(some), 4_000):
+            d = doc[some[k : k + 4_000, None] + np.arange(size)]
+            np.add.at(flat, (d[:, a] * n + d[:, b]).ravel(), 1)
+    i, j = np.nonzero(np.triu(both, 1))
+    shared = both[i, j]
+    keep = shared / (counts[i] + counts[j] - shared) >= least - 1e-6
+    # Counts are whole numbers below 2^24, so the product is exact; the limit is tested again in double precision.
+    i, j, shared = i[keep], j[keep], shared[keep].astype(np.float64)
+    keep = shared >= (least - 1e-12) * (counts[i] + counts[j] - shared)
+    return i[keep], j[keep]
+
+
+def block_links(buckets: DataFrame, component: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """rep, pivot: the links between members of one bucket that are in different components, found block against block."""
+    rows = buckets.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    rows = materialize(rows, "near-rest")
+    mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("rep").alias("head")).filter("low <> high").select("bucket", "head")
+    rows = materialize(rows.join(mixed, "bucket").select("rep", "c", "head").distinct(), "near-mixed")
+    family = connected_components(rows, "rep", "head").select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    members = rows.select("rep", "c").distinct().join(family, "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    members = materialize(members.withColumn("chars", F.length("text").cast("long")), "near-members")
+    blocks_for = lambda: F.ceil(F.greatest(F.sum("n") / block, F.sum("chars") / BLOCK_CHARS)).cast("int")
+
+    comps = members.groupBy("family", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    # The pool of a component: its own if it fills a block, else the family's common one; small families share pools.
+    comps = comps.withColumn("pool", F.when((F.col("n") >= block) | (F.col("chars") >= BLOCK_CHARS), F.col("c")))
+    comps = materialize(comps, "near-comps")
+    total = comps.groupBy("family").agg(F.sum("n").alias("m"), F.sum("chars").alias("total_chars"))
+    small = (F.col("m") < block // 4) & (F.col("total_chars") < BLOCK_CHARS // 4)
+    size = total.filter(small).agg(F.sum("m"), F.sum("total_chars")).first()
+    bins = max(1, -(-(size[0] or 0) // (block // 2)), -(-(size[1] or 0) // (BLOCK_CHARS // 2)))
+    total = materialize(total.select("family", F.when(small, -1 - F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family")).alias("place"), small.alias("small")), "near-total")
+    comps = comps.join(total, "family")
+    pools = materialize(comps.groupBy("place", "pool", "small").agg(blocks_for().alias("blocks")).withColumn("blocks", F.when(F.col("small"), 1).otherwise(F.col("blocks"))), "near-pools")
+    each = pools.select("place", "pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("name", F.xxhash64("place", "pool", "block"))
+    each = materialize(each, "near-blocks")
+    two = each.select("place", F.col("pool").alias("pool2"), F.col("name").alias("name2"))
+    same = F.coalesce(F.col("pool") == F.col("pool2"), F.lit(False))  # of one large component
+    pairs = each.join(two, "place").filter((F.col("name") <= F.col("name2")) & ~same)
+    pairs = materialize(pairs.select("name", "name2", F.xxhash64("name", "name2").alias("task")), "near-pairs")
+    sides = pairs.select("task", "name").union(pairs.filter("name <> name2").select("task", F.col("name2").alias("name")))
+
+    own = comps.join(pools.select("place", F.col("pool").alias("p"), "blocks"), "place").filter(F.col("pool").eqNullSafe(F.col("p"))).select("family", "c", "place", "pool", "blocks")
+    dealt = members.join(own, ["family", "c"]).withColumn("name", F.xxhash64("place", "pool", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")))
+    dealt = dealt.select("name", "rep", "c", "text").join(sides, "name").select("task", "rep", "c", "text")
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("rep")
+        rep, c = table.column("rep").to_numpy(), table.column("c").to_numpy()
+        i, j = linked(table.column("text").to_pylist(), least) if len(np.unique(c)) > 1 else (np.array([], int), np.array([], int))
+        other = c[i] != c[j]
+        return pa.table({"rep": pa.array(rep[j[other]], pa.int64()), "pivot": pa.array(rep[i[other]], pa.int64())})
+
+    return dealt.groupBy("task").applyInArrow(run, "rep long, pivot long")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, class_size for every row."""
     sketched = materialize(sketch(docs, id_col, text_col), "near-sketch")
     copies = materialize(sketched.filter("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-copies")
@@ -236,34 +327,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = materialize(rows.join(shared, "bucket"), "near-buckets")
     weight = live.groupBy("rep").agg(F.sum("n").alias("weight"))
-    live = materialize(live.join(weight, "rep").select("bucket", "rep", "weight"), "near-weighted")
+    buckets = live = materialize(live.join(weight, "rep").select("bucket", "rep", "weight"), "near-weighted")
 
     wanted = materialize(live.select("rep").distinct(), "near-wanted")
     few = broadcast_if_small(wanted, wanted.count())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = materialize(texts.join(few, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]), "near-texts")
 
-    links = tried = component = None
+    links = tried = None
     for k in range(rounds):
         pivots = live.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"))).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", (-F.col("top.low")).alias("pivot"))
-        pivots = materialize(pivots, "near-pivots")
-        paired = live.join(pivots, "bucket")
+        paired = live.join(materialize(pivots, "near-pivots"), "bucket")
         edges = paired.filter("rep <> pivot").select("rep", "pivot").distinct()
-        if tried is not None:
-            edges = edges.join(tried, ["rep", "pivot"], "left_anti")
-        edges = materialize(edges, "near-edges")
+        edges = materialize(edges if tried is None else edges.join(tried, ["rep", "pivot"], "left_anti"), "near-edges")
         tried = edges if tried is None else tried.unionByName(edges)
         found = materialize(verified(edges, texts, least), "near-links")
         links = found if links is None else links.unionByName(found)
-        if k + 1 == rounds and component is not None and found.isEmpty():
-            break
         component = connected_components(links, "rep", "pivot")
-        if k + 1 < rounds:
-            one, two = component.select(F.col("id").alias("rep"), F.col("component").alias("c")), component.select(F.col("id").alias("pivot"), F.col("component").alias("d"))
-            open_rows = paired.join(one, "rep", "left").join(two, "pivot", "left").filter(F.coalesce("c", "rep") != F.coalesce("d", "pivot"))
-            live = materialize(open_rows.select("bucket", "rep", "weight"), "near-open")
-            if live.isEmpty():
-                break
+        one, two = component.select(F.col("id").alias("rep"), F.col("component").alias("c")), component.select(F.col("id").alias("pivot"), F.col("component").alias("d"))
+        open_rows = paired.join(one, "rep", "left").join(two, "pivot", "left").filter(F.coalesce("c", "rep") != F.coalesce("d", "pivot"))
+        live = materialize(open_rows.select("bucket", "rep", "weight"), "near-open")
+        if live.isEmpty():
+            break
+    else:
+        rest = materialize(block_links(buckets, component, texts, least, block), "near-rest-links")
+        if not rest.isEmpty():
+            component = connected_components(links.unionByName(rest), "rep", "pivot")
     out = members.select("doc_id", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     own = sketched.filter("bands IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     out = materialize(out.filter("doc_id IS NOT NULL").unionByName(own), "near-classes")
