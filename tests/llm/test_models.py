@@ -204,6 +204,10 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 
 def test_main_text():
     assert html_text.main_text(PAGE, frozenset()) == "Head & tail\nOne bold text here. Next\nTwo <b> é x\ni\nii"
+    held = '<div class="page has-sidebar"><div class="sidebar"><article><p>teaser</p></article></div><article class="post"><header><h2>T</h2></header><p>a</p><p style="display: none">b</p></article><article class="comment"><p>c</p></article></div>'
+    assert html_text.main_text(held, frozenset()) == "T\na"
+    assert html_text.main_text('<div id="notice-board"><article><p>in</p></article></div>', frozenset()) == "in"
+    assert html_text.main_text("<body><main><p>m</p></main><p>n</p></body>", frozenset()) == "m"
     for cut in range(0, len(PAGE), 7):  # cut off anywhere
         html_text.main_text(PAGE[:cut], frozenset())
     for odd in ("", "<", "<p", "<p>a", "a < b > c", '<a href="', "</p></div>", "<!--", "<b><i>x</b>y</i>", "<p>" * 3000 + "deep", "<div>" * 5000 + "deep"):

@@ -39,6 +39,10 @@ DROPPED = frozenset("head script style noscript template iframe svg canvas objec
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar aside menu nav navbar navigation breadcrumb breadcrumbs comment comments respond disqus replies share sharing social related newsletter subscribe popup modal footer pagination pager widget skip".split()
 )
+#: Those of them that an article element itself may carry; the others name its layout or subject.
+ARTICLE_MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond replies related sidebar teaser".split())
+#: A name that begins so says what is beside the element, not what it is.
+ABOUT = frozenset("has no with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 CLOSED_BY_BLOCK = "p"
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -122,16 +126,27 @@ def attribute(node: Node, name: str) -> str | None:
     return None
 
 
-def boilerplate(node: Node, in_main: bool) -> bool:
+def marks(node: Node) -> set[str]:
+    """The words of its class and id."""
+    names = " ".join(attribute(node, a) or "" for a in ("class", "id")).lower()
+    words = (NAME_WORDS.findall(name) for name in names.split())
+    return {w for name in words if name and name[0] not in ABOUT for w in name}
+
+
+def boilerplate(node: Node, in_main: bool, by_name: bool = True) -> bool:
+    """Whether a subtree is no text by its kind or, with by_name, by its class, id or role."""
     tag = node.tag
     if tag in DROPPED or tag == "header" and not in_main:
         return True
-    if not node.attributes or tag in ("html", "body", "article", "main"):
+    if not node.attributes or tag in ("html", "body", "main"):
         return False
-    names = " ".join(attribute(node, a) or "" for a in ("class", "id")).lower()
-    if names.strip() and not MARKS.isdisjoint(NAME_WORDS.findall(names)):
+    if attribute(node, "hidden") is not None or "display:none" in (attribute(node, "style") or "").replace(" ", "").lower():
         return True
-    return (attribute(node, "role") or "").lower() in ROLES or attribute(node, "hidden") is not None
+    if not by_name:
+        return False
+    if tag == "article":
+        return not ARTICLE_MARKS.isdisjoint(marks(node))
+    return not MARKS.isdisjoint(marks(node)) or (attribute(node, "role") or "").lower() in ROLES
 
 
 def digest(node: Node) -> int:
@@ -184,13 +199,14 @@ def main_text(html: str | None, template: set[int]) -> str:
     if template:
         digest(root)
     kept: list[Node] = []
-    for wanted in ("article", "main"):
+    # Names may mislead about what holds the article, so a second look goes by kind alone.
+    for wanted, by_name in (("article", True), ("main", True), ("article", False), ("main", False)):
         todo = [root]
         while todo:  # outermost elements that no deleted subtree holds
             x = todo.pop()
-            if x.tag == wanted:
+            if x.tag == wanted and not boilerplate(x, False, by_name):
                 kept.append(x)
-            elif not boilerplate(x, False) and x.digest not in template:
+            elif not boilerplate(x, False, by_name) and x.digest not in template:
                 todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
         if kept:
             break
@@ -213,8 +229,8 @@ def main_text(html: str | None, template: set[int]) -> str:
                 run.append(x)
             elif x.tag in ("br", "wbr"):
                 run.append(" " if x.tag == "br" else "")
-            elif boilerplate(x, not whole) or whole and x.digest in template:
-                if x.tag in BLOCKS or x.tag == "form":
+            elif x is not top and boilerplate(x, not whole) or whole and x.digest in template:
+                if x.tag in BLOCKS:
                     close()
             elif x.tag in BLOCKS or x.tag == "#page":
                 close()
