@@ -115,11 +115,10 @@ def two_cliques(spark, n=12):
     return graph(spark, [(a + s, b + s) for s in (0, 100) for a in range(n) for b in range(n) if a != b] + [(0, 100)])
 
 
-@pytest.mark.parametrize("objective", ["edge", "vertex", "baseline"])
-@pytest.mark.parametrize("init", ["uniform", "hub", Sampling("rd", beta=0.3, sigma=0.2), Sampling("hd", beta=0.3, sigma=0.2)])
+@pytest.mark.parametrize(("objective", "init"), [("edge", "hub"), ("edge", Sampling("rd", beta=0.3, sigma=0.2)), ("vertex", "uniform"), ("baseline", "hub")])
 def test_partition_invariants(spark, objective, init):
     e = two_cliques(spark)
-    r = loop.partition(e, lp.Objective(objective, 2, slack=0.2), init, limit=8)
+    r = loop.partition(e, lp.Objective(objective, 2, slack=0.2), init, limit=5)
     labels = r.labels.collect()
     assert len(labels) == 24 and {x.part for x in labels} <= {0, 1}
     stats = quality.part_stats(r.sym, r.labels, 2).collect()
