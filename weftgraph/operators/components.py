@@ -19,9 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     for _ in range(limit):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
         lower = cut(labels.join(near, "id").select("id", "label", F.least("label", "low").alias("next")), "cc")
-        jumped = lower.join(lower.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left").select("id", "label", F.least("next", F.coalesce("far", "next")).alias("next"))
-        jumped = cut(jumped, "cc")
-        if jumped.filter("next <> label").isEmpty():
+        if lower.filter("next <> label").isEmpty():
             break
-        labels = jumped.select("id", F.col("next").alias("label"))
+        jumped = lower.join(lower.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
+        labels = cut(jumped.select("id", F.least("next", F.coalesce("far", "next")).alias("label")), "cc")
     return labels.select("id", F.col("label").alias("component"))
