@@ -43,7 +43,7 @@ SIMILARITY = 0.8
 COORDINATES = 125
 ROWS = 5
 BANDS = COORDINATES // ROWS
-ROUNDS = 2
+ROUNDS = 1
 BLOCK = 1_000
 BLOCK_CHARS = 5_000_000
 #: A shingle in so many texts of two blocks is counted by matrix product, else pair by pair.
@@ -271,9 +271,9 @@ def linked(texts: list[str], least: float):
 
 def block_links(buckets: DataFrame, component: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """rep, pivot: the links between members of one bucket that are in different components, found block against block."""
-    rows = buckets.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    rows = buckets.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "weight", F.coalesce("component", "rep").alias("c"))
     rows = materialize(rows, "near-rest")
-    mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("rep").alias("head")).filter("low <> high").select("bucket", "head")
+    mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct("weight", "rep"))["rep"].alias("head")).filter("low <> high").select("bucket", "head")
     rows = materialize(rows.join(mixed, "bucket").select("rep", "c", "head").distinct(), "near-mixed")
     family = connected_components(rows, "rep", "head").select(F.col("id").alias("rep"), F.col("component").alias("family"))
     members = rows.select("rep", "c").distinct().join(family, "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
