@@ -190,6 +190,16 @@ def test_span_report(odd, odd_rows, none, field):
     assert pii.span_report(none, field).count() == 0
 
 
+def test_long_stretches_go_in_steps(field, monkeypatch):
+    text = " ".join(f"call +1 (555) 0{k % 10}3-4567 or token = {k:03d}9b8c45435718dcc700c184a7 of {k}" for k in range(200))
+    whole = pii.all_spans(text, field)
+    monkeypatch.setattr(pii, "STEP", 100_000)
+    assert pii.all_spans(text, field) == whole and len(whole[1]) >= 400
+    spans = whole[0]
+    for s in range(0, 600, 7):
+        assert pii.overlaps(spans, s, s + 9) == any(a < s + 9 and b > s for a, _, b in spans)
+
+
 def test_secrets_are_added(field):
     text = 'Some words token = "9b8c45435718dcc700c184a7e303cdc64c6a8f7f" and on version 1.2.3 of 2024-10-12.'
     base, spans = pii.all_spans(text, field)

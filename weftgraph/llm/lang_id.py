@@ -34,7 +34,8 @@ BITS = 16
 LONGEST = 40
 WORDS = rf"[^\W\d_]{{1,{LONGEST}}}"
 CACHE = 400_000
-CELLS = 1_000_000
+#: Numbers in one padded array of likelihoods.
+CELLS = 4_000_000
 
 
 def slots(words: list[str], lexicon: dict[str, int]):
@@ -286,7 +287,8 @@ class Labeller:
         order = order[: int((lengths > 0).sum())]
         while len(order):
             t_max = int(lengths[order[0]])
-            part, order = order[: max(1, min(512, CELLS // t_max))], order[max(1, min(512, CELLS // t_max)) :]
+            fit_in = max(1, min(512, CELLS // (t_max * out.shape[1])))
+            part, order = order[:fit_in], order[fit_in:]
             n = lengths[part]
             p = np.ones((t_max, len(part), out.shape[1]), np.float32)
             w = np.zeros((t_max, len(part)), np.float32)

@@ -32,6 +32,9 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 LONGEST = 14
 REACH = 48
+#: Characters decoded at once, and those looked at beyond them.
+STEP = 4_000
+AHEAD = 400
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -370,14 +373,33 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
+def overlaps(spans: list[tuple[int, int, int]], start: int, end: int, kinds: int = len(BASE_KINDS)) -> bool:
+    """Whether any of the spans, in order of start and of so many kinds, reaches into start to end."""
+    from bisect import bisect_left
+
+    # Spans of one kind are disjoint, so few that begin before can still be open; the nearest of each kind decide.
+    k, seen = bisect_left(spans, (end, -1, -1)) - 1, set()
+    while k >= 0 and len(seen) < kinds:
+        a, kind, b = spans[k]
+        if b > start:
+            return True
+        seen.add(kind)
+        k -= 1
+    return False
+
+
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base spans, and of base and added ones together."""
     base = base_spans(text)
-    added = []
+    added, kinds = [], len({y for _, y, _ in base})
     for a, b in windows(text):
-        for s, y, e in field.decode(window(text, a, b)):
-            if all(e <= p or s >= q for p, _, q in base):
-                added.append((s, y, e))
+        while a < b:  # a long stretch is decoded in steps that look ahead
+            end = min(b, a + STEP)
+            found = [x for x in field.decode(window(text, a, min(b, end + AHEAD))) if x[0] < end]
+            for s, y, e in found:
+                if not overlaps(base, s, e, kinds):
+                    added.append((s, y, e))
+            a = max(end, found[-1][2] if found else 0)
     return base, sorted(base + added)
 
 
