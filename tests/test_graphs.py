@@ -38,6 +38,13 @@ def test_components_paths_and_maxima(spark):
     assert found[4] == 3 and found[10] == paths.UNREACHED
     long_path = graph(spark, [(i, i + 1) for i in range(200)])
     assert set(as_dict(components.connected_components(long_path)).values()) == {0}
+    rng = random.Random(1)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    label = {v: v for p in pairs for v in p}
+    for _ in range(300):
+        for x, y in pairs:
+            label[x] = label[y] = min(label[x], label[y])
+    assert as_dict(components.connected_components(graph(spark, pairs))) == label
     assert as_dict(paths.max_propagation(graph(spark, [(1, 2), (1, 3), (2, 3), (3, 4)]))) == {1: 2, 2: 2, 3: 2, 4: 2}
     empty = graph(spark, [])
     assert components.connected_components(empty).count() == 0 and paths.shortest_paths(empty, 1).count() == 0

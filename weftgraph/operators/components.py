@@ -1,4 +1,4 @@
-"""Weakly connected components by minimum labels with pointer jumping."""
+"""Weakly connected components by contraction."""
 
 from __future__ import annotations
 
@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from ..plans.bsp import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", limit: int = 100) -> DataFrame:
+def _roots(parents: DataFrame) -> DataFrame:
+    """parents(id, p) with p <= id, each p replaced by the end of its chain; chains halve with each jump."""
+    while True:
+        jumped = parents.join(parents.select(F.col("id").alias("p"), F.col("p").alias("far")), "p")
+        if jumped.filter("far <> p").isEmpty():
+            return parents
+        parents = cut(jumped.select("id", F.col("far").alias("p")), "cc-jump")
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """id, component (the smallest id of the component) for every endpoint of edges.
 
-    Each round takes the smallest label among a vertex and its neighbours, then follows the label's own
-    label, so rounds grow with the logarithm of the diameter. Only the labels are rewritten each round."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = cut(e.union(e.select("b", "a")).distinct(), "cc-edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")), "cc")
-    for _ in range(limit):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
-        lower = cut(labels.join(near, "id").select("id", "label", F.least("label", "low").alias("next")), "cc")
-        if lower.filter("next <> label").isEmpty():
-            break
-        jumped = lower.join(lower.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
-        labels = cut(jumped.select("id", F.least("next", F.coalesce("far", "next")).alias("label")), "cc")
-    return labels.select("id", F.col("label").alias("component"))
+    In each round every vertex points to its smallest neighbour (or itself), chains of pointers are followed
+    to their ends, and the edges are rewritten between those ends. At least every other end of an edge goes
+    in a round, and the edges that are left, without copies, shrink as fast; long paths go in one round."""
+    a, b = F.col(src), F.col(dst)
+    e = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "cc-edges")
+    found: DataFrame | None = None
+    while True:
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("n")), F.struct(F.col("b").alias("id"), F.col("a").alias("n")))).alias("x"))
+        parents = _roots(cut(ends.groupBy("x.id").agg(F.min("x.n").alias("n")).select("id", F.least("id", "n").alias("p")), "cc-parents"))
+        if found is None:
+            found = parents
+        else:
+            step = parents.select(F.col("id").alias("p"), F.col("p").alias("q"))
+            found = cut(found.join(step, "p", "left").select("id", F.coalesce("q", "p").alias("p")), "cc-found")
+        one, two = parents.select(F.col("id").alias("a"), F.col("p").alias("pa")), parents.select(F.col("id").alias("b"), F.col("p").alias("pb"))
+        e = cut(e.filter("a <> b").join(one, "a").join(two, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        if e.isEmpty():
+            return found.select("id", F.col("p").alias("component"))
