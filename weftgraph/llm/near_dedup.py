@@ -275,8 +275,10 @@ def block_links(buckets: DataFrame, component: DataFrame, texts: DataFrame, leas
     rows = materialize(rows, "near-rest")
     mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct("weight", "rep"))["rep"].alias("head")).filter("low <> high").select("bucket", "head")
     rows = materialize(rows.join(mixed, "bucket").select("rep", "c", "head").distinct(), "near-mixed")
-    family = connected_components(rows, "rep", "head").select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    members = rows.select("rep", "c").distinct().join(family, "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    # A member's family is that of its first head; heads of one member are of one family.
+    firsts = materialize(rows.groupBy("rep", "c").agg(F.min("head").alias("first")), "near-firsts")
+    family = connected_components(rows.join(firsts.select("rep", "first"), "rep").select("first", "head").distinct(), "first", "head").select(F.col("id").alias("first"), F.col("component").alias("family"))
+    members = firsts.join(family, "first").select("rep", "c", "family").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
     members = materialize(members.withColumn("chars", F.length("text").cast("long")), "near-members")
     blocks_for = lambda: F.ceil(F.greatest(F.sum("n") / block, F.sum("chars") / BLOCK_CHARS)).cast("int")
 
