@@ -48,7 +48,9 @@ BLOCK = 1_000
 BLOCK_CHARS = 5_000_000
 #: A shingle in so many texts of two blocks is counted by matrix product, else pair by pair.
 DENSE = 24
-SLICE = 1_000_000
+SLICE = 500_000
+#: Cells of the plane looked at at once.
+CELLS = 300_000
 
 #: Odd, so it has an inverse modulo 2^64.
 BASE = 0x5851F42D4C957F2D
@@ -131,7 +133,7 @@ def dart_signatures(elements, counts, k: int = COORDINATES):
         phi = darts / counts[todo]
         low, high = np.floor(done[todo]).astype(np.int64), np.ceil(phi).astype(np.int64)
         cells = (high - low) * counts[todo]
-        for part in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(np.cumsum(cells) // 1_000_000)) + 1):
+        for part in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(np.cumsum(cells) // CELLS)) + 1):
             d = todo[part]
             wide = (high - low)[part]
             doc = np.repeat(part, cells[part])
@@ -222,7 +224,7 @@ def verified(edges: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE // 2):
+            for part in text_slices(batch, "text", SLICE):
                 for k in range(0, part.num_rows, 2_000):
                     some = part.slice(k, 2_000)
                     s = similarities(some.column("text").to_pylist(), some.column("other").to_pylist())
