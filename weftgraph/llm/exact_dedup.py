@@ -54,7 +54,7 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns."""
+    """The rows of docs that stay, all columns. A row without doc_id cannot be named and always stays."""
     report = duplicate_report(docs, id_col, text_col)
     gone = report.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
