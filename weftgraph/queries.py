@@ -194,7 +194,7 @@ def max_propagation(s, d):
 
 
 def triangle_closing(s, d):
-    return triangles.triangle_closing(fixtures.user_flow(s, d)).filter("rank <= 20")
+    return triangles.triangle_closing(fixtures.user_flow(s, d))
 
 
 def clustering_coefficient(s, d):
