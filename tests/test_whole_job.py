@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weftgraph.partition import loop
 from weftgraph.queries import QUERIES
 
 
@@ -13,3 +14,17 @@ def test_triangle_closing_keeps_every_candidate(spark, tmp_path):
     want = {(a, b, 2) for a in range(25) for b in range(25) if a != b} | {(1000, 1001, 24), (1001, 1000, 24)}
     assert {(r.id, r.candidate, r.common) for r in got} == want and len(got) == len(want)
     assert sorted(r.rank for r in got if r.id == 0) == list(range(1, 25))
+
+
+def test_partition_queries_run_under_the_default_limit(spark, tables, monkeypatch):
+    """The stop rule ends them, not a smaller number of supersteps."""
+    names, seen = sorted(n for n in QUERIES if n.startswith("partition_") and n != "partition_report"), []
+
+    def partition(edges, *args, limit=None, **kwargs):
+        seen.append(limit)
+        return loop.Result(edges, edges)
+
+    monkeypatch.setattr(loop, "partition", partition)
+    for name in names:
+        QUERIES[name](spark, tables)
+    assert len(names) == 6 and seen == [None] * 6

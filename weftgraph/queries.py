@@ -320,7 +320,7 @@ def lp_first_migration(s, d):
 
 
 def _partition(s, d, objective, init):
-    return loop.partition(fixtures.supply(s, d), objective, init, limit=12).labels
+    return loop.partition(fixtures.supply(s, d), objective, init).labels
 
 
 def partition_edge(s, d):
@@ -346,7 +346,7 @@ def partition_sampled(s, d):
 def partition_regrow(s, d):
     e = fixtures.supply(s, d)
     start = fixtures.labels_mod(vertices(e), K)
-    return loop.partition(e, lp.Objective("edge", K + 2), "given", limit=12, start=start, change=2).labels
+    return loop.partition(e, lp.Objective("edge", K + 2), "given", start=start, change=2).labels
 
 
 def partition_report(s, d):
