@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weftgraph.llm import html_text
 from weftgraph.partition import loop
 from weftgraph.queries import QUERIES
 
@@ -28,3 +29,11 @@ def test_partition_queries_run_under_the_default_limit(spark, tables, monkeypatc
     for name in names:
         QUERIES[name](spark, tables)
     assert len(names) == 6 and seen == [None] * 6
+
+
+def test_wrapped_articles_stay_on_every_copy(spark):
+    """What holds an article or main is no template, however often the page is printed."""
+    menu = '<div class="box"><p>Everywhere</p></div>'
+    rows = [(i, f"http://{tag}.org/{i}", f'<body>{menu}<div class="wrap"><div><{tag}><h1>Head</h1><p>Printed again</p></{tag}></div></div></body>') for tag in ("article", "main") for i in range(10)]
+    got = html_text.text_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["Head\nPrinted again"] * 20

@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
 A lenient scanner turns a page into a tree of elements. Each element subtree outside the main content is
-hashed bottom-up (tag, attributes, text, children's hashes); Spark counts on how many pages of a host each
+hashed bottom-up (tag, attributes, text, children's hashes), those that hold main content apart; Spark counts on how many pages of a host each
 hash occurs; subtrees that recur on at least ``MIN_PAGES`` pages and ``SHARE`` of a host's pages are its
 template and are deleted. With them go elements that are boilerplate by their kind (navigation, page
 headers and footers, asides, forms, scripts, styles) or by class, id or role (adverts, notices, sidebars,
@@ -176,17 +176,27 @@ def walk(root: Node) -> Iterator[Node]:
         todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
+def holders(root: Node) -> set[Node]:
+    """The elements that are or hold an article or main."""
+    out: set[Node] = set()
+    for x in reversed(list(walk(root))):  # children before their parents
+        if x.tag in ("article", "main") or any(c in out for c in x.children if isinstance(c, Node)):
+            out.add(x)
+    return out
+
+
 def template_candidates(html: str) -> set[int]:
-    """Hashes of the block subtrees outside the main content, each once, if they hold any text."""
+    """Hashes of the block subtrees beside the main content, each once, if they hold any text; none that holds an article or main."""
     root = parse(html)
     digest(root)
+    holding = holders(root)
     out: set[int] = set()
     todo = [root]
     while todo:
         x = todo.pop()
         if x.tag in ("article", "main"):
             continue
-        if x.tag in BLOCKS and x.children and x.tag not in ("html", "body"):
+        if x.tag in BLOCKS and x.children and x.tag not in ("html", "body") and x not in holding:
             out.add(x.digest)
         todo.extend(c for c in x.children if isinstance(c, Node))
     return out
