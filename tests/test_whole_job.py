@@ -37,3 +37,16 @@ def test_wrapped_articles_stay_on_every_copy(spark):
     rows = [(i, f"http://{tag}.org/{i}", f'<body>{menu}<div class="wrap"><div><{tag}><h1>Head</h1><p>Printed again</p></{tag}></div></div></body>') for tag in ("article", "main") for i in range(10)]
     got = html_text.text_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in got] == ["Head\nPrinted again"] * 20
+
+
+def test_recurring_blocks_go_from_articles(spark):
+    """A notice inside different articles is template; articles printed again, whole or with a new date, stay whole."""
+    notice = '<div class="box"><p>Read us daily</p></div>'
+    rows = [(i, f"http://a.org/{i}", f"<body><article><h1>Head {i}</h1>{notice}<p>Own text number {i}</p></article></body>") for i in range(8)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<body><main><p>Own text number {i}</p>{notice}</main></body>") for i in range(8)]
+    rows += [(200 + i, f"http://c.org/{i}", f"<body><article>{notice}<p>Printed again</p></article></body>") for i in range(8)]
+    rows += [(300 + i, f"http://d.org/{i}", f"<body><article><p>Day {i}</p><p>Printed with a new date on every page</p></article></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.text_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Head {i}\nOwn text number {i}" and got[100 + i] == f"Own text number {i}"
+        assert got[200 + i] == "Read us daily\nPrinted again" and got[300 + i] == f"Day {i}\nPrinted with a new date on every page"

@@ -6,8 +6,9 @@ hash occurs; subtrees that recur on at least ``MIN_PAGES`` pages and ``SHARE`` o
 template and are deleted. With them go elements that are boilerplate by their kind (navigation, page
 headers and footers, asides, forms, scripts, styles) or by class, id or role (adverts, notices, sidebars,
 menus, reader comments). The main content is what ``article`` elements hold, else ``main``, else the body;
-inside an ``article`` or ``main`` nothing is deleted for recurring, so an article printed on several pages of
-a host stays whole on each.
+inside them recurring subtrees are counted by different articles of a host, not pages, and deleted from an
+article they are at most half of, so an article printed on several pages of a host, with small changes or
+none, stays whole on each.
 
 A host has at most (subtrees of a page) / SHARE template hashes, so the list a page is compared with is
 bounded however large its host is. The table of all hosts' templates is broadcast only if it is small.
@@ -29,6 +30,8 @@ from .common import broadcast_if_small, materialize, text_slices
 
 MIN_PAGES = 5
 SHARE = 0.3
+#: Sets hashes of subtrees inside articles apart from those beside them.
+INSIDE = 0x5BD1E995C6A4A793
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
@@ -185,23 +188,45 @@ def holders(root: Node) -> set[Node]:
     return out
 
 
-def template_candidates(html: str) -> set[int]:
-    """Hashes of the block subtrees beside the main content, each once, if they hold any text; none that holds an article or main."""
+def template_candidates(html: str) -> list[tuple[int | None, set[int]]]:
+    """Hashes of the block subtrees of a page that hold text but no article or main, each once: those beside the main
+    content, under None, then those of each article (of each main if there is none) under the hash of the whole."""
     root = parse(html)
     digest(root)
     holding = holders(root)
-    out: set[int] = set()
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if x.tag in ("article", "main"):
-            continue
-        if x.tag in BLOCKS and x.children and x.tag not in ("html", "body") and x not in holding:
-            out.add(x.digest)
-        todo.extend(c for c in x.children if isinstance(c, Node))
+    held = [x for x in walk(root) if x.tag in ("article", "main") and not boilerplate(x, False)]
+    unit = "article" if any(x.tag == "article" for x in held) else "main"
+    tops = [x for x in held if x.tag == unit]
+    out: list[tuple[int | None, set[int]]] = []
+    for top in [root, *tops]:
+        found: set[int] = set()
+        todo = [top]
+        while todo:
+            x = todo.pop()
+            if x is not top and x.tag in ("article", "main"):
+                continue
+            if x.tag in BLOCKS and x.children and x.tag not in ("html", "body") and x not in holding:
+                found.add(x.digest if top is root else x.digest ^ INSIDE)
+            todo.extend(c for c in x.children if isinstance(c, Node))
+        out.append((None if top is root else top.digest, found))
     return out
 
 
+def carries(top: Node, template: set[int]) -> bool:
+    """Whether an article has recurring parts but is more than those: a copy with small changes stays whole."""
+    size = gone = 0
+    todo: list = [(top, False)]
+    while todo:
+        x, recurs = todo.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            size, gone = size + n, gone + n * recurs
+        elif x is top or not boilerplate(x, True):
+            recurs = recurs or x is not top and x.digest ^ INSIDE in template
+            todo.extend((c, recurs) for c in x.children)
+    return 0 < gone <= size / 2
+
+
 def main_text(html: str | None, template: set[int]) -> str:
     import html as entities
 
@@ -230,6 +255,7 @@ def main_text(html: str | None, template: set[int]) -> str:
         run.clear()
 
     for top in kept or [root]:
+        cleared = bool(template) and not whole and carries(top, template)
         todo: list = [top]
         while todo:
             x = todo.pop()
@@ -239,7 +265,7 @@ def main_text(html: str | None, template: set[int]) -> str:
                 run.append(x)
             elif x.tag in ("br", "wbr"):
                 run.append(" " if x.tag == "br" else "")
-            elif x is not top and boilerplate(x, not whole) or whole and x.digest in template:
+            elif x is not top and boilerplate(x, not whole) or whole and x.digest in template or cleared and x is not top and x.digest ^ INSIDE in template:
                 if x.tag in BLOCKS:
                     close()
             elif x.tag in BLOCKS or x.tag == "#page":
@@ -263,15 +289,16 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
         for batch in batches:
             for part in text_slices(batch, "html"):
-                found = [(h, sorted(template_candidates(t or ""))) for h, t in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found]), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["host", "found"])
+                found = [(h, unit, sorted(x)) for h, t in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True) for unit, x in template_candidates(t or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.string()), pa.array([u for _, u, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.list_(pa.int64()))], ["host", "unit", "found"])
 
     hosts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host <> ''")
-    # A null element stands for the page itself, so one aggregation counts both.
-    rows = hosts.mapInArrow(run, "host string, found array<long>").select("host", F.explode(F.array_append("found", F.lit(None).cast("long"))).alias("subtree"))
-    counts = materialize(rows.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("subtree").isNull() | (F.col("n") >= min_pages)), "html-counts")
-    totals = counts.filter("subtree IS NULL AND n >= %d" % min_pages).select("host", F.col("n").alias("pages"))
-    often = counts.filter("subtree IS NOT NULL").join(totals, "host").filter(F.col("n") >= F.col("pages") * share)
+    # A null element stands for the page or article itself, so one aggregation counts both. Pages count each, articles by their different texts.
+    rows = hosts.mapInArrow(run, "host string, unit long, found array<long>").select("host", "unit", F.explode(F.array_append("found", F.lit(None).cast("long"))).alias("subtree"))
+    once = rows.groupBy("host", "unit", "subtree").agg(F.count(F.lit(1)).alias("n")).select("host", "subtree", F.col("unit").isNotNull().alias("inside"), F.when(F.col("unit").isNull(), F.col("n")).otherwise(1).alias("n"))
+    counts = materialize(once.groupBy("host", "inside", "subtree").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages), "html-counts")
+    totals = counts.filter("subtree IS NULL").select("host", "inside", F.col("n").alias("all"))
+    often = counts.filter("subtree IS NOT NULL").join(totals, ["host", "inside"]).filter(F.col("n") >= F.col("all") * share)
     return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
 
 
