@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from weftgraph import fixtures
+from weftgraph.graph import vertices
 from weftgraph.llm import html_text
+from weftgraph.operators import paths
 from weftgraph.partition import loop
 from weftgraph.queries import QUERIES
 
@@ -50,3 +53,9 @@ def test_recurring_blocks_go_from_articles(spark):
     for i in range(8):
         assert got[i] == f"Head {i}\nOwn text number {i}" and got[100 + i] == f"Own text number {i}"
         assert got[200 + i] == "Read us daily\nPrinted again" and got[300 + i] == f"Day {i}\nPrinted with a new date on every page"
+
+
+def test_sssp_returns_every_vertex(spark, tables):
+    got = {r.id: r.distance for r in QUERIES["sssp"](spark, tables).collect()}
+    assert got.keys() == {r.id for r in vertices(fixtures.orders_chain(spark, tables)).collect()}
+    assert got[1] == 0 and list(got.values()).count(paths.UNREACHED) > len(got) / 2
