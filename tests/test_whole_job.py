@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from weftgraph import fixtures
 from weftgraph.graph import vertices
-from weftgraph.llm import html_text
+from weftgraph.llm import html_text, lang_id
+from weftgraph.llm.common import fold
 from weftgraph.operators import paths
 from weftgraph.partition import loop
 from weftgraph.queries import QUERIES
@@ -59,3 +60,15 @@ def test_sssp_returns_every_vertex(spark, tables):
     got = {r.id: r.distance for r in QUERIES["sssp"](spark, tables).collect()}
     assert got.keys() == {r.id for r in vertices(fixtures.orders_chain(spark, tables)).collect()}
     assert got[1] == 0 and list(got.values()).count(paths.UNREACHED) > len(got) / 2
+
+
+def test_language_sample_is_of_labelled_rows(spark, monkeypatch):
+    """Rows without a label take nothing from the sample, and a rare language is in it."""
+    rows = [(i, f"words of number {i}", "en" if i < 1000 else "ga" if i < 1010 else None) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = docs.filter((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull()).groupBy("lang").count()
+    counts = {r["lang"]: r["count"] for r in known.collect()}
+    monkeypatch.setattr(lang_id, "fit", lambda samples: [x for x, _ in samples])
+    got = lang_id.learn(docs, sample=200)
+    assert got.count("ga") == counts["ga"] > 0 and 150 < got.count("en") < 250 < counts["en"]
+    assert lang_id.learn(docs.filter("lang IS NULL")) == []

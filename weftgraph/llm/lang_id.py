@@ -9,7 +9,8 @@ sum of posteriors, weighted by letters, and its score is that share.
 
 Training labels are known per document only. A first fit gives all words their document's language; its
 posteriors, under sticky transitions, relabel the words, so foreign passages take their own language; the
-chain is then fitted to those labels. It uses a hash sample of about ``SAMPLE`` documents and of each
+chain is then fitted to those labels. It uses a hash sample of about ``SAMPLE`` labelled documents, with about
+``LEAST`` of each language or all it has, and of each document
 ``WINDOW`` words around a hashed position; all other work covers whole texts.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or if nothing could be
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import fold, text_slices, worker_cache
 
 SAMPLE = 3_000
+#: Documents to learn a language from, where it has so many.
+LEAST = 100
 WINDOW = 300
 BITS = 16
 LONGEST = 40
@@ -211,8 +214,13 @@ def fit(samples: list[tuple[str, list[str]]], first: int = 40, rounds: int = 12,
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, window: int = WINDOW) -> Chain:
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, sample / max(1, docs.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # One row a language, of which there are few.
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return fit([])
+    share = sample / sum(counts.values())
+    cuts = chain.from_iterable((F.lit(k), F.lit(round(min(1.0, max(share, LEAST / n)) * 1_000_000))) for k, n in sorted(counts.items()))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < F.create_map(*cuts)[F.col("lang")])
 
     def run(batches: Iterator) -> Iterator:
         import re
