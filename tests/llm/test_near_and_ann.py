@@ -144,11 +144,30 @@ def test_odd_documents(odd, odd_rows, none):
         by[r.doc_id].add(r.class_id)
     assert by[1] == by[2] == by[3] == by[4] == {1}
     assert by[5] == {5} and by[6] == {6} and by[7] == {7} and by[15] == {15} and by[None] == {None}
+    text = {r[0]: r[1] for r in odd_rows}
     kept = near_dedup.keep_one(odd)
+    bags = [shingles(r.text) for r in kept.collect() if r.doc_id is not None and shingles(r.text)]
+    assert all(jaccard(a, b) < 0.8 for i, a in enumerate(bags) for b in bags[:i])
+    assert {r.doc_id for r in kept.collect() if r.doc_id not in (2, 3, 4)} == set(text) - {2, 3, 4}
     assert kept.schema == odd.schema and {r.doc_id for r in kept.collect()} & {1, 2, 3, 4} == {1}
     assert near_dedup.classes(none).count() == 0 and near_dedup.keep_one(none).count() == 0
 
 
+def test_one_id_of_several_texts(spark):
+    """Rows are classed by their texts: a doc_id that repeats neither loses links nor merges texts."""
+    rng = random.Random(6)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(100)] for x in "ab")
+    near = lambda w: " ".join([*w[:50], "changed", *w[51:]])
+    rows = [(9, " ".join(a)), (9, " ".join(b)), (10, near(a)), (11, near(b)), (9, " ".join(a)), (12, "alone"), (12, "by itself")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, __gone string, k1 string")
+    got = near_dedup.classes(df)
+    assert classes_of(got) == brute_classes(rows) == [[10, 9, 9], [11, 9], [12], [12]]
+    assert {r.doc_id: r.class_size for r in got.collect() if r.doc_id in (10, 11)} == {10: 3, 11: 2}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(9, " ".join(a)), (9, " ".join(b)), (12, "alone"), (12, "by itself")])
+
+
 def brute_nearest(ids, x, asked, k):
     out = {}
     for q in asked:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -22,9 +23,7 @@ TRICKY = ["", " ", "a", " lead", "tail ", "a  b", "a\n\nb", "a\nb c\n d", "it's
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TABLE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TABLE)
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +53,16 @@ def test_pieces_are_what_the_library_gives(library):
             assert list(struct.unpack(f"<{len(ids) // 2}H", ids)) == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_special_tokens_as_text(library):
+    texts = ["<|endoftext|> hi", "a <|endoftext|>b\n<|endoftext|>", *TRICKY]
+    found = dict(zip(texts, token_output.PieceEncoder(TABLE).encode(texts), strict=True))
+    assert struct.unpack("<2H", found["<|endoftext|> hi"]) == (50256, 23105)
+    plain = type(library).from_file(TABLE)
+    plain.encode_special_tokens = True
+    for t, ids in zip(texts, token_output.PieceEncoder(TABLE, special_as_text=True).encode(texts), strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 2}H", ids)) == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_full_cache(library, monkeypatch):
     monkeypatch.setattr(token_output, "CACHE", 5)
     encoder = token_output.PieceEncoder(TABLE)
@@ -75,15 +84,33 @@ def test_token_report(spark, odd, odd_rows, none, library):
     assert token_output.token_report(none, TABLE).count() == 0
 
 
-def test_small_files_and_lookup(spark, tmp_path, odd, library):
-    path = str(tmp_path / "sst")
+def test_small_files_and_lookup(spark, tmp_path, odd, odd_rows, library):
+    path, ranges = str(tmp_path / "sst"), str(tmp_path / "ranges")
     token_output.write_shards(odd, path, TABLE, file_bytes=100)
     assert len(list((tmp_path / "sst").glob("part-*"))) >= 2
-    found = {r.doc_id: r.ids for r in token_output.lookup(spark, path, [1, 10, 999]).collect()}
-    assert found == {1: found[1], 10: library.encode("one two three", add_special_tokens=False).ids + [0]}
+    token_output.write_ranges(spark, path, ranges)
+    assert sum(r.entries for r in spark.read.parquet(ranges).collect()) == len(odd_rows)
+    got = sorted((repr(r.doc_id), r.ids) for r in token_output.lookup(spark, ranges, [1, 10, 14, 999, None]).collect())
+    want = sorted((repr(r[0]), library.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in odd_rows if r[0] in (1, 10, 14, None))
+    assert got == want
+    assert token_output.lookup(spark, ranges, [999_999]).count() == 0
     assert token_output.read_shards(spark, path).count() == odd.count()
 
 
+def test_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    """A third of the rows without id and a third of one id go to several tasks."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 50) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_output.write_shards(docs, str(tmp_path / "sst"), TABLE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    report = token_output.read_shards(spark, str(tmp_path / "sst")).groupBy("file").count().collect()
+    assert len(report) >= 3 and max(r["count"] for r in report) < 2000
+    assert token_output.token_report(docs, TABLE).agg({"n_tokens": "count"}).first()[0] == 3000
+
+
 def test_sorted_string_table():
     rng = random.Random(2)
     ids = sorted(rng.sample(range(-(10**12), 10**12), 4000))
@@ -97,6 +124,7 @@ def test_sorted_string_table():
     assert r.entries == 4001 and len(r.last_keys) > 1
     assert [sstable.id_of(k) for k, _ in r.scan()] == [None, *ids]
     assert all(r.get(i).startswith(str(i).encode()) for i in [None, *ids[::50]])
+    assert [len(list(r.get_all(i))) for i in [None, *ids[::50]]] == [1] * (1 + len(ids[::50]))
     absent = [i + 1 for i in ids if i + 1 not in set(ids)]
     assert all(r.get(i) is None for i in absent[:500])
     assert sum(r.may_hold(sstable.key_of(i)) for i in absent) < 0.05 * len(absent)
@@ -114,13 +142,23 @@ def test_chunks_give_whole_pretokens(coder):
     assert bpe.chunked_pretokens(coder.pattern, long, 20, 5) == coder.pattern.findall(long)
 
 
+def test_stitching_is_linear(coder):
+    """Tens of millions of characters, with and without boundaries in common, stitch in seconds."""
+    for text, most in (("word and 12345 more, " * 1_000_000, 25), ("x" * 10_000_000, 15), ("1234567890" * 200_000, 15)):
+        parts = [bpe.boundaries(coder.pattern, text[s : s + bpe.CHUNK + bpe.OVERLAP], s, s + bpe.CHUNK + bpe.OVERLAP >= len(text)) for s in range(0, len(text), bpe.CHUNK)]
+        began = time.process_time()
+        cuts = bpe.stitch(coder.pattern, text, parts, bpe.CHUNK)
+        assert time.process_time() - began < most
+        assert cuts == sorted(set(cuts)) and cuts[-1] <= len(text)
+
+
 def test_bpe_round_trip(coder, plain):
     for t in TRICKY + random_texts(500, 3):
         ids = coder.encode(coder.pattern.findall(t))
         assert ids == plain.encode_ordinary(t) and coder.decode(ids) == t.encode()
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk": 64, "overlap": 16, "long": 100}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 64, "overlap": 16}])
 def test_bpe_report(odd, odd_rows, none, plain, sizes):
     want = []
     for doc_id, text, *_ in odd_rows:

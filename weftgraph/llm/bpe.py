@@ -5,25 +5,27 @@ of its own, so chunks of one text run in parallel. Neighbouring chunks are stitc
 where both have a pre-token boundary: the pattern looks only forward, so two scans that stand at one
 position go on alike. A match that touches the end of its chunk may be cut short and is not trusted. If the
 overlap holds no common boundary, the left scan goes on over the next chunk, which is slower but exact.
-The pre-tokens are then merged by rank, each on its own, with a cache per Python worker.
+The pre-tokens are then merged by rank, each on its own, with a cache per Python worker. A text of one chunk
+has nothing to stitch and is encoded where it is read.
 
-Defined results: null counts as empty and gives 0 tokens; repeated rows are encoded each; an empty table
-gives an empty result; other columns, whatever their names, are not read.
+Defined results: null counts as empty and gives 0 tokens; a text of any length is stitched in time linear in it;
+repeated rows are encoded each; an empty table gives an empty result; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, worker_cache
+from .common import materialize, named, text_slices, worker_cache
 
 CHUNK = 16_384
 OVERLAP = 256
-LONG = 2 * CHUNK
 #: Pre-tokens a worker remembers before it starts anew.
 CACHE = 300_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -87,17 +89,21 @@ def boundaries(pattern, text: str, start: int = 0, complete: bool = True) -> lis
 
 def stitch(pattern, text: str, parts: list[list[int]], chunk: int) -> list[int]:
     """The boundaries of text from those of its chunks, each chunk's list beginning at its own start."""
-    out = parts[0]
+    out = list(parts[0])
     for k in range(1, len(parts)):
-        here = set(parts[k])
-        at = next((i for i in range(len(out)) if out[i] >= k * chunk and out[i] in here), None) if out[-1] >= k * chunk else None
-        if at is None:  # no common boundary: go on from the last sure one, over this chunk
-            end = parts[k][-1]
-            more = boundaries(pattern, text[out[-1] : end], out[-1], end == len(text)) if end > out[-1] else [out[-1]]
-            out = out + more[1:]
+        part = parts[k]
+        if len(part) == 1 and out[-1] < part[0]:  # a match over the whole chunk: its end is in a later one
             continue
-        b = out[at]
-        out = out[: at + 1] + [x for x in parts[k] if x > b]
+        here = set(part)
+        at = next((i for i in range(bisect_left(out, k * chunk), len(out)) if out[i] in here), None)
+        if at is None:  # no common boundary: go on from the last sure one, over this chunk
+            end = part[-1]
+            if end > out[-1]:
+                out += boundaries(pattern, text[out[-1] : end], out[-1], end == len(text))[1:]
+        else:
+            b = out[at]
+            del out[at + 1 :]
+            out += part[bisect_left(part, b + 1) :]
     return out
 
 
@@ -153,13 +159,14 @@ def _encode_long(ranks_path: str, pattern: str, chunk: int):
     return run
 
 
-def encode_report(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, long: int = LONG) -> DataFrame:
+def encode_report(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    is_long = F.length("text") > long
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    is_long = F.length("text") > chunk
     short = texts.filter(~is_long).mapInArrow(_encode_short(ranks_path, pattern), RESULT)
     starts = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)))
     chunks = texts.filter(is_long).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", starts.alias("start"))
     chunks = chunks.select("row", "doc_id", "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(chunk + overlap)).alias("piece"), (F.col("start") + chunk + overlap >= F.length("text")).alias("last"))
+    chunks = materialize(chunks, "bpe-chunks")  # the numbers of rows must not change when a task runs again
     scanned = chunks.repartition("row", "start").mapInArrow(_scan_chunks(pattern), "row long, doc_id long, start int, piece string, cuts array<int>")
     return short.unionByName(scanned.groupBy("row").applyInArrow(_encode_long(ranks_path, pattern, chunk), RESULT))

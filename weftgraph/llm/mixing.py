@@ -16,7 +16,8 @@ row per source (its cut in q and doc_id), and applying it to the documents needs
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, ranked
 last; repeated rows of one doc_id in one source rank as one document and are taken together; an empty
-table gives an empty result; a source of no words has target 0. Other columns are not read.
+table gives an empty result; a source of no words has target 0; a very long text counts all its words and is
+taken or left whole. Other columns, whatever their names, are not read and go along in mix().
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, materialize
+from .common import WORD, broadcast_if_small, fresh, kept, materialize, named, scratch
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -116,10 +117,13 @@ def copies(u: Column, doc_id: Column, plan: Column) -> Column:
 PLAN = ("whole", "pi", "cut_b1", "cut_b2", "cut")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    return docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), word_count(named(text_col)).alias("size"), uniform(named(id_col), seed).alias("u"))
+
+
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"))
-    sized = materialize(sized, "mix-sizes")
+    sized = materialize(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     plan, n = mixing_plan(sized, weights, max_copies)
     plan = broadcast_if_small(plan, n)
     out = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).withColumn("copies", copies(F.col("u"), F.col("doc_id"), F.struct(*PLAN)))
@@ -128,9 +132,11 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"))
-    plan, n = mixing_plan(materialize(sized, "mix-sizes"), weights, max_copies)
-    plan = broadcast_if_small(plan.select(F.col("source").alias("__mix_source"), F.struct(*PLAN).alias("__mix_plan")), n)
-    out = docs.join(plan, docs[source_col].eqNullSafe(F.col("__mix_source")))
-    out = out.withColumn("__mix_copies", copies(uniform(docs[id_col], seed), docs[id_col], F.col("__mix_plan"))).filter("__mix_copies > 0")
-    return out.withColumn("__mix_copies", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
+    with scratch(docs.sparkSession):
+        plan, n = mixing_plan(materialize(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes"), weights, max_copies)
+        plan = kept(plan, "mix-plan")
+    source, own, times = (fresh(docs, c) for c in ("mix_source", "mix_plan", "mix_copies"))
+    plan = broadcast_if_small(plan.select(F.col("source").alias(source), F.struct(*PLAN).alias(own)), n)
+    out = docs.join(plan, named(source_col).eqNullSafe(F.col(source)))
+    out = out.withColumn(times, copies(uniform(named(id_col), seed), named(id_col), F.col(own))).filter(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*map(named, docs.columns))

@@ -22,10 +22,13 @@ their own, and each pair of blocks but those of one component is one task, which
 block against block in memory and gives only links between components. No task holds more than two blocks.
 Components of all links are the classes.
 
-Defined results: a text without words (null, empty, white space) is a class of its own; a text of fewer than
-five words is one shingle; classes are named by their smallest doc_id; rows of one doc_id that repeat are in
-one class if their words agree; rows without doc_id are not linked and have a null class; an empty table
-gives an empty result; other columns are not read.
+Defined results: each row of a text without words (null, empty, white space) is a class of its own, named by
+its doc_id; a text of fewer than five words is one shingle; a very long text is compared whole; classes are
+named by their smallest doc_id; rows of one doc_id that repeat are in one class if their texts are linked, else
+in several, of which the one with the smallest digest of words has the doc_id for a name and each other a
+negative number hashed from its digest; rows without doc_id are not linked and have a null class; an empty
+table gives an empty result; other columns, whatever their names, are not read by classes() and decide ties in
+keep_one().
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import broadcast_if_small, materialize, text_slices
+from .common import broadcast_if_small, keep_rows, kept, materialize, named, row_key, scratch, text_slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -184,7 +187,7 @@ def sequence_digest(words, sizes):
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, d1, d2 (digest of the words), bands; null bands for a text without words."""
+    """doc_id, the row key k1, k2, d1, d2 (digest of the words), bands; null bands for a text without words."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -197,9 +200,11 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 keys = band_keys(dart_signatures(*elements_of(words, sizes)))
                 offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
                 bands = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)), mask=pa.array(sizes == 0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(d1), pa.array(d2), bands], ["doc_id", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(d1), pa.array(d2), bands], ["doc_id", "k1", "k2", "d1", "d2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    k1, k2 = row_key(docs)
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), named(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, d1 long, d2 long, bands array<long>")
 
 
 def similarities(left: list[str], right: list[str]):
@@ -320,23 +325,24 @@ def block_links(buckets: DataFrame, component: DataFrame, texts: DataFrame, leas
     return dealt.groupBy("task").applyInArrow(run, "rep long, pivot long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, class_size for every row."""
+def _representatives(docs: DataFrame, id_col: str, text_col: str, least: float, rounds: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and of each different sequence of words (d1, d2) its class: class_id, class_size and the row key
+    (k1, k2) of the class's first row. The sketches are written inside the caller's scratch block."""
     sketched = materialize(sketch(docs, id_col, text_col), "near-sketch")
-    copies = materialize(sketched.filter("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "near-copies")
-    known = sketched.filter("bands IS NOT NULL").join(copies, ["d1", "d2"])
-    members = materialize(known.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "near-members")
+    found = sketched.filter("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    # Written once, the numbers are fixed: a doc_id may name several texts, so it can't stand for one.
+    copies = materialize(found.withColumn("rep", F.monotonically_increasing_id()), "near-copies")
 
-    rows = members.filter("bands IS NOT NULL").select("rep", F.explode("bands").alias("bucket")).distinct()
+    rows = copies.select("rep", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = materialize(rows.join(shared, "bucket"), "near-buckets")
     weight = live.groupBy("rep").agg(F.sum("n").alias("weight"))
     buckets = live = materialize(live.join(weight, "rep").select("bucket", "rep", "weight"), "near-weighted")
 
-    wanted = materialize(live.select("rep").distinct(), "near-wanted")
-    few = broadcast_if_small(wanted, wanted.count())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(few, F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"]), "near-texts")
+    wanted = materialize(live.select("rep").distinct().join(copies.select("rep", "first.k1", "first.k2"), "rep"), "near-wanted")
+    k1, k2 = row_key(docs)
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), named(text_col).alias("text"))
+    texts = materialize(texts.join(broadcast_if_small(wanted, wanted.count()), ["k1", "k2"]).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
 
     links = tried = None
     for k in range(rounds):
@@ -357,14 +363,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         rest = materialize(block_links(buckets, component, texts, least, block), "near-rest-links")
         if not rest.isEmpty():
             component = connected_components(links.unionByName(rest), "rep", "pivot")
-    out = members.select("doc_id", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    own = sketched.filter("bands IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
-    out = materialize(out.filter("doc_id IS NOT NULL").unionByName(own), "near-classes")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(materialize(sizes, "near-sizes").withColumnRenamed("class_id", "__class"), F.col("class_id").eqNullSafe(F.col("__class"))).select("doc_id", "class_id", "class_size")
+    labelled = copies.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "first", "n", F.coalesce("component", "rep").alias("c"))
+    labelled = materialize(labelled, "near-labelled")
+    groups = labelled.groupBy("c").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"), F.min(F.struct("d1", "d2")).alias("tie"))
+    groups = materialize(groups.withColumn("name", F.col("first.doc_id")), "near-groups")
+    owner = groups.groupBy("name").agg(F.min("tie").alias("owner"))
+    other = -1 - F.shiftrightunsigned(F.xxhash64("tie.d1", "tie.d2"), 1)
+    groups = groups.join(owner, "name").select("c", F.when(F.col("tie") == F.col("owner"), F.col("name")).otherwise(other).alias("class_id"), "class_size", "first.k1", "first.k2")
+    return sketched, labelled.select("d1", "d2", "c").join(groups, "c").drop("c")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, class_size for every row."""
+    with scratch(docs.sparkSession):
+        sketched, texts = _representatives(docs, id_col, text_col, least, rounds, block)
+        texts = materialize(texts.select("d1", "d2", "class_id", "class_size"), "near-texts-classes")
+        linked_rows = sketched.filter("bands IS NOT NULL AND doc_id IS NOT NULL").join(texts, ["d1", "d2"]).select("doc_id", "class_id", "class_size")
+        own = sketched.filter("bands IS NULL AND doc_id IS NOT NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        unnamed = sketched.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        return kept(linked_rows.unionByName(own).unionByName(unnamed), "near-classes")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id names their class, all columns."""
-    gone = materialize(classes(docs, id_col, text_col, least).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), docs[id_col] == F.col("__gone"), "left_anti")
+    """One row of each class, that of smallest doc_id (ties by the hash of the whole row), all columns.
+
+    Rows without words or without doc_id stay; rows alike in all columns stay once."""
+    with scratch(docs.sparkSession):
+        sketched, texts = _representatives(docs, id_col, text_col, least, ROUNDS, BLOCK)
+        alone = sketched.filter("bands IS NULL OR doc_id IS NULL").select("k1", "k2")
+        keys = kept(texts.select("k1", "k2").distinct().unionByName(alone.distinct()), "near-kept")
+    return keep_rows(docs, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_text, lang_id, mixing, near_dedup, pii, quality, token_output
-from .common import fold, table
+from .common import fold, leaves_result, table
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,17 +65,12 @@ def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_semi_markov_pii": op1_semi_markov_pii,
-    "op2_pruned_graph_neighbours": op2_pruned_graph_neighbours,
-    "op3_bradley_terry_quality": op3_bradley_terry_quality,
-    "op4_dart_near_dedup": op4_dart_near_dedup,
-    "op5_sorted_token_table": op5_sorted_token_table,
-    "op6_pareto_mix": op6_pareto_mix,
-    "op7_chunked_bpe": op7_chunked_bpe,
-    "op8_site_template_text": op8_site_template_text,
-    "op9_chain_language": op9_chain_language,
-    "op10_exact_dedup": op10_exact_dedup,
-}
+    f.__name__: leaves_result(f)
+    for f in (
+        op1_semi_markov_pii, op2_pruned_graph_neighbours, op3_bradley_terry_quality, op4_dart_near_dedup, op5_sorted_token_table,
+        op6_pareto_mix, op7_chunked_bpe, op8_site_template_text, op9_chain_language, op10_exact_dedup,
+    )
+}
 
 SQL = {
     "op10_exact_dedup": r"""

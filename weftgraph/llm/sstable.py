@@ -160,6 +160,15 @@ class Reader:
             return None
         return next((v for x, v in self.block(k) if x == key), None)
 
+    def get_all(self, doc_id: int | None):
+        """The values of all entries of doc_id; entries of one key may run over several blocks."""
+        key = key_of(doc_id)
+        if self.may_hold(key):
+            for k in range(bisect.bisect_left(self.last_keys, key), len(self.last_keys)):
+                yield from (v for x, v in self.block(k) if x == key)
+                if self.last_keys[k] != key:
+                    break
+
     def scan(self):
         for k in range(len(self._places)):
             yield from self.block(k)

@@ -8,9 +8,15 @@ pre-tokens, and just before a space that a non-space follows there always is a p
 text may be cut there, and around a lone line feed, and each piece be encoded once per worker. A text in which
 white space meets white space is encoded as a whole.
 
+Strings of special tokens in a text are encoded as the library does by default, that is, as those tokens; with
+``special_as_text`` they are ordinary text. A text that holds one is encoded as a whole.
+
+Rows of one id (or without any) are dealt over tasks by the hash of their texts and by the partition they come
+from, so none is hot.
+
 Defined results: null text counts as empty (the end id alone); a null doc_id comes first; repeated rows
-follow one another, each with its own start; an empty table gives an empty result; strings of special
-tokens in a text are ordinary text; other columns are not read.
+follow one another, each with its own start; a very long text is one entry; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sstable
-from .common import broadcast_if_small, materialize, scratch_dir, text_slices, worker_cache
+from .common import broadcast_if_small, kept, materialize, named, new_path, scratch, text_slices, worker_cache
 
 END_ID = 0
 FILE_BYTES = 8_000_000
@@ -33,7 +39,7 @@ SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 class PieceEncoder:
     """Ids of whole texts as little-endian u16."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,7 +47,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
+        self._special = [] if special_as_text else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self._tokenizer.model, "_resize_cache"):
             self._tokenizer.model._resize_cache(0)  # new words only come here, so its own cache can't help
         space, feed = (self._tokenizer.encode(x, add_special_tokens=False).tokens[0][0] for x in (" x", "\nx"))
@@ -51,11 +58,11 @@ class PieceEncoder:
         self._cache: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, tokenizer_path: str) -> PieceEncoder:
+    def of(cls, tokenizer_path: str, special_as_text: bool = False) -> PieceEncoder:
         own = worker_cache("pieces")
-        if tokenizer_path not in own:
-            own[tokenizer_path] = cls(tokenizer_path)
-        return own[tokenizer_path]
+        if (tokenizer_path, special_as_text) not in own:
+            own[tokenizer_path, special_as_text] = cls(tokenizer_path, special_as_text)
+        return own[tokenizer_path, special_as_text]
 
     def _pieces(self, text: str) -> list[str]:
         """The text cut before each space and line feed; a piece has lost its space. The first has nothing before it and is marked by a space."""
@@ -105,6 +112,10 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         from itertools import chain
 
+        if held := {i for i, t in enumerate(texts) if t and any(x in t for x in self._special)}:
+            some = iter(self._encode([texts[i] for i in sorted(held)]))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in held]))
+            return [next(some if i in held else rest) for i in range(len(texts))]
         cache, cut = self._cache, [self._pieces(t or "") for t in texts]
         flat = list(chain.from_iterable(cut))
         found = list(map(cache.get, flat))
@@ -130,13 +141,13 @@ class PieceEncoder:
         return out
 
 
-def _images(tokenizer_path: str, file_bytes: int):
+def _images(tokenizer_path: str, file_bytes: int, special_as_text: bool):
     def run(batches: Iterator) -> Iterator:
         import struct
 
         import pyarrow as pa
 
-        encoder, end = PieceEncoder.of(tokenizer_path), struct.pack("<H", END_ID)
+        encoder, end = PieceEncoder.of(tokenizer_path, special_as_text), struct.pack("<H", END_ID)
         writer = sstable.Writer()
         image = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["image"])
         empty = True
@@ -154,13 +165,18 @@ def _images(tokenizer_path: str, file_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, special_as_text: bool = False) -> None:
     """Write all documents' ids under path, in ascending order of id within and across files."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    images = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_images(tokenizer_path, file_bytes), "image binary")
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    dealt = texts.repartitionByRange("doc_id", F.xxhash64("text"), F.spark_partition_id())
+    images = dealt.sortWithinPartitions("doc_id").mapInArrow(_images(tokenizer_path, file_bytes, special_as_text), "image binary")
     images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths)
+
+
 def _scan(batches: Iterator) -> Iterator:
     import zlib
 
@@ -184,12 +200,34 @@ def _scan(batches: Iterator) -> Iterator:
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files under path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_scan, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _files(spark, path).select("path", "content").mapInArrow(_scan, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """doc_id and ids (array<int>) of the wanted documents that are there, by binary search in each file."""
+#: What a null doc_id counts as where files are compared by their ids.
+NO_ID = -(1 << 63)
+
+
+def write_ranges(spark: SparkSession, path: str, to: str) -> None:
+    """Write a table of the files under path to the folder ``to``: file, first and last doc_id, number of entries."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if content.as_buffer().size:
+                    reader = sstable.Reader(content.as_buffer())
+                    first, last = (NO_ID if i is None else i for i in (sstable.id_of(next(reader.block(0))[0]), sstable.id_of(reader.last_keys[-1])))
+                    yield pa.RecordBatch.from_pydict({"file": [file], "first": [first], "last": [last], "entries": [reader.entries]})
+
+    _files(spark, path).select("path", "content").mapInArrow(run, "file string, first long, last long, entries long").write.parquet(to)
+
+
+def lookup(spark: SparkSession, ranges: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id and ids (array<int>) of the wanted documents, by a table of write_ranges: only files whose range holds a
+    wanted id are opened, and in each a binary search leads to one block (to several where an id repeats)."""
+    wanted = sorted({NO_ID if i is None else i for i in doc_ids})
+    schema = "doc_id long, ids array<int>"
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -197,24 +235,26 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
         for batch in batches:
             for content in batch.column("content"):
-                if not content.as_buffer().size:
-                    continue
                 reader = sstable.Reader(content.as_buffer())
-                found = [(i, v) for i in doc_ids if (v := reader.get(i)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([np.frombuffer(v, "<u2").tolist() for _, v in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                found = [(i, v) for i in wanted for v in reader.get_all(None if i == NO_ID else i)]
+                ids = [np.frombuffer(v, "<u2").tolist() for _, v in found]
+                yield pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i, _ in found], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "doc_id long, ids array<int>")
+    asked = spark.createDataFrame([(i,) for i in wanted], "wanted long")  # as long as the caller's list
+    files = spark.read.parquet(ranges).join(F.broadcast(asked), F.col("wanted").between(F.col("first"), F.col("last")), "left_semi").select("file")
+    paths = [r.file for r in files.collect()]  # a few files an id
+    return _files(spark, paths).select("content").mapInArrow(run, schema) if paths else spark.createDataFrame([], schema)
 
 
-def token_report(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_report(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Write the shards to the shared folder, read them back: doc_id, start, n_tokens, ids_crc32."""
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/sstable-{uuid.uuid4().hex}"
-    write_shards(docs, path, tokenizer_path, id_col, text_col)
-    rows = materialize(read_shards(spark, path), "sstable-rows")
-    files = rows.groupBy("file").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("last"), F.sum("n_tokens").alias("n"))
+    with scratch(spark):
+        path = new_path(spark, "sstable")
+        write_shards(docs, path, tokenizer_path, id_col, text_col, special_as_text=special_as_text)
+        rows = kept(read_shards(spark, path), "sstable-rows")
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    files = rows.groupBy("file").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n_tokens").alias("n"))
     before = Window.orderBy("first", "last", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = materialize(files.select(F.col("file").alias("__file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "sstable-files")
     out = rows.join(broadcast_if_small(files, files.count()), F.col("file") == F.col("__file"))
