@@ -1,11 +1,19 @@
-"""A corpus in five stages: quality, exact copies, near copies, mixing, encoding. Each stage is written and read again."""
+"""A corpus in five stages: quality, exact copies, near copies, mixing, encoding. Each stage is written and read again.
+
+Defined results: stages decide by rows, not by doc_id, so rows of one doc_id with different texts are documents of
+their own, and rows alike in all columns count once after the second stage. A null text is an empty one; an empty
+or wordless text is scored like any, has one exact representative and takes no words in the mix, so it is in the
+result as often as its source is copied. A null doc_id comes last among equals and is not linked to near copies;
+a null source is a source; a null lang, like any other column, goes along unread. Very long texts are read whole.
+Columns may have any names beside those of documents, also ones that operators use inside. An empty table gives an
+empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from weftgraph.llm.common import materialize, table
+from weftgraph.llm.common import discard, kept, leaves_result, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each normalised text, the one with the smallest doc_id."""
+    """One row of each normalised text, the one with the smallest doc_id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id."""
+    """One row of each near-duplicate class, the one with the smallest doc_id."""
     return near_dedup.keep_one(docs)
 
 
@@ -41,8 +49,12 @@ STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup
 ORACLE_SQL = None
 
 
+@leaves_result
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch(spark):
+            docs = kept(stage(spark, before, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
