@@ -40,3 +40,12 @@ def odd(spark, odd_rows):
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def more_tables(tables):
+    """The next larger test tables, where every planted case occurs."""
+    import os
+
+    path = tables.replace("sf0.001", "sf0.01")
+    return path if os.path.isdir(path) else tables

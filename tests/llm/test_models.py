@@ -54,6 +54,27 @@ def test_language_held_out(spark, tables):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
+def test_long_words_and_whole_texts(spark):
+    """Words and texts of any length are read whole, in the fit as well."""
+    long = "ab" * 60_000
+    rows = [(i, f"{'schön über ' * 700}nicht {long if i == 1 else ''}" if i % 2 else "thing with other " * 900, "bb" if i % 2 else "aa") for i in range(1, 21)]
+    model = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "nicht" in model.lexicon
+    texts = [(1, long), (2, f"über {long} schön"), (3, "thing " * 30_000 + "x" * 3000)]
+    got = {r.doc_id: r for r in lang_id.language_report(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got[3].lang_pred == "aa" and got[2].lang_pred in ("aa", "bb") and all(0 < r.score <= 1 for r in got.values())
+
+
+def test_samples_of_any_share(spark):
+    from weftgraph.llm.common import sampled
+
+    ids = spark.range(300_000)
+    assert ids.filter(sampled(F.col("id"), 1.0, 1)).count() == 300_000
+    assert 2_500 < ids.filter(sampled(F.col("id"), 0.01, 1)).count() < 3_500
+    for share in (1e-9, 1e-18, 1e-30):  # never nothing at all, however large the table
+        assert sampled(F.col("id"), share, 1)._jc.toString().rsplit("<", 1)[1].strip(" )") not in ("0", "")
+
+
 def test_forward_backward_by_enumeration():
     from itertools import product
 
@@ -200,6 +221,43 @@ def test_long_stretches_go_in_steps(field, monkeypatch):
         assert pii.overlaps(spans, s, s + 9) == any(a < s + 9 and b > s for a, _, b in spans)
 
 
+def test_hostile_texts_in_linear_time(field):
+    import time
+
+    for text in ("9" * 1_000_000, "1." * 20_000, "a@" * 30_000, "ab1-" * 100_000, "+1 " * 40_000, "x" * 1_000_000 + "1", "password=" * 20_000):
+        began = time.thread_time()
+        pii.all_spans(text, field)
+        assert time.thread_time() - began < 20, text[:20]
+
+
+def test_harder_spans(field):
+    def found(text):
+        return [(pii.KINDS[y], text[a:b]) for a, y, b in pii.all_spans(text, field)[1]]
+
+    key = "abcDEFgh+/" * 17 + "12345678=="
+    assert found(f'key = "{key}"') == [("secret", key)]
+    assert found('my password = "hunterlongpasswordabcdef" ok') == [("secret", "hunterlongpasswordabcdef")]
+    assert found("write to john.doe at example dot com today") == [("email", "john.doe at example dot com")]
+    assert found("the ssn 123-45-6789 is") == [("ssn", "123-45-6789")]
+    assert found("key sk-4eC39HqLyjWDarjtT1zdp7dc end") == [("secret", "sk-4eC39HqLyjWDarjtT1zdp7dc")]
+    assert found("key deadbeef-1234-4abc-9def-0123456789ab") == [("secret", "deadbeef-1234-4abc-9def-0123456789ab")]
+    assert found("covid-19 and B2B of 2024-10-12 v1.2.3, the secret garden is key to success") == []
+
+
+def test_recall_on_documents(spark, more_tables):
+    """Every token that a document announces is among the added spans, and documents without digits get none."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{more_tables}/documents.parquet").collect()}
+    told = 0
+    for r in QUERIES["op1_semi_markov_pii"](spark, more_tables).collect():
+        spans = set(filter(None, r.spans.split(",")))
+        planted = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer('token = "([0-9a-f]{40})"', texts[r.doc_id])}
+        told += len(planted)
+        assert planted <= spans and r.n_secret == sum(s.startswith("secret:") for s in spans) and r.n_spans == len(spans)
+        assert spans or not planted
+        assert not spans or re.search("[0-9@]", texts[r.doc_id])
+    assert told
+
+
 def test_secrets_are_added(field):
     text = 'Some words token = "9b8c45435718dcc700c184a7e303cdc64c6a8f7f" and on version 1.2.3 of 2024-10-12.'
     base, spans = pii.all_spans(text, field)
@@ -240,6 +298,69 @@ def test_template_goes_and_articles_stay(spark):
     assert html_text.text_report(df.filter(F.lit(False))).count() == 0
 
 
+def test_recurring_subtrees_by_brute_force(spark, more_tables):
+    """Spark's counts give the templates that a plain count of every page's hashes gives."""
+    from collections import Counter, defaultdict
+
+    pages = spark.read.parquet(f"{more_tables}/pages.parquet")
+    rows = pages.select(html_text.host_of(F.col("url")).alias("host"), "html").collect()
+    seen, held = defaultdict(set), Counter()
+    for k, r in enumerate(rows):
+        for kind, unit, found in html_text.template_candidates(r.html or ""):
+            for h, share in [*found.items(), (None, 0.0)]:
+                key = k if unit is None else ("unit", unit)
+                held[r.host, h] += share if key not in seen[r.host, kind, h] else 0
+                seen[r.host, kind, h].add(key)
+    want = {host: set() for (host, kind, h), x in seen.items() if kind == html_text.FRAME and h is None and len(x) >= html_text.MIN_PAGES}
+    for (host, kind, h), x in seen.items():
+        n, every = len(x), len(seen[host, kind, None])
+        enough = n >= max(2, html_text.SLOT_SHARE * every) if kind == html_text.SLOT else n >= max(html_text.MIN_PAGES, html_text.SHARE * every)
+        if h is not None and host in want and enough and not (kind == html_text.FRAME and held[host, h] > html_text.FRAME_TEXT * n):
+            want[host].add(h)
+    got = {r.host: set(r.template) for r in html_text.site_templates(pages).collect()}
+    assert got == want and any(want.values())
+
+
+def test_templates_make_the_text(spark, more_tables, monkeypatch):
+    """Without its host's template the text of most pages differs; names of classes are not needed where a host can be counted."""
+    pages = spark.read.parquet(f"{more_tables}/pages.parquet").withColumn("host", html_text.host_of(F.col("url")))
+    known = {r.host: frozenset(r.template) for r in html_text.site_templates(pages).collect()}
+    judged = [r for r in pages.collect() if r.host in known]
+    texts = [html_text.main_text(r.html, known[r.host], True) for r in judged]
+    off = [html_text.main_text(r.html, frozenset(), True) for r in judged]
+    assert len(judged) > 50 and sum(a != b for a, b in zip(texts, off, strict=True)) > 0.9 * len(judged)
+    monkeypatch.setattr(html_text, "MARKS", frozenset())
+    assert [html_text.main_text(r.html, known[r.host], True) for r in judged] == texts
+
+
+def test_salted_templates(spark, tables, monkeypatch):
+    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    want = sorted(map(repr, html_text.text_report(pages).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert sorted(map(repr, html_text.text_report(pages).collect())) == want
+
+
+def test_frames_and_slots(spark):
+    """Boxes whose words change go by their frame, marked elements inside articles by their slot, content by neither."""
+    def page(i, host):
+        body = f"<article><p>Own text {i}</p><div class='comments'><p>{'Yes ' * i}</p></div></article>" if host == "a" else f"<div class='text'><p>Long own text of the page number {i}, which goes on</p></div>"
+        return (i, f"http://{host}.org/{i}", f"<body><div class='box{i}'>Word {i}</div><div class='top'><ul><li><a>x{i}</a></li><li><a>y</a></li></ul></div>{body}<section class='end'>{i} by us</section></body>")
+
+    rows = [page(i, h) for h in "ab" for i in range(1, 9)] + [(100 + i, "http://c.org/", "<body><div>Alike</div><p>On every page</p></body>") for i in range(9)]
+    got = [r.text for r in html_text.text_report(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("url", "page_id").collect()]
+    assert got == [f"Own text {i}" for i in range(1, 9)] + [f"Long own text of the page number {i}, which goes on" for i in range(1, 9)] + ["Alike\nOn every page"] * 9
+
+
+def test_hostile_markup_in_linear_time():
+    import time
+
+    for text in ("<a " * 1_000_000, "<b>" * 100_000 + "</i>" * 100_000, "<ul>" + "<b>" * 50_000 + "<li></li>" * 50_000, "<b>" * 50_000 + "<div></div>" * 50_000, '<a ">" ' * 100_000, "<a '" * 200_000 + ">", "<p>" * 100_000, "<!-- " * 200_000):
+        began = time.thread_time()
+        html_text.main_text(text, frozenset({1}), True)
+        html_text.template_candidates(text)
+        assert time.thread_time() - began < 20, text[:20]
+
+
 def test_pages_of_the_tables(spark, tables):
     import html
 

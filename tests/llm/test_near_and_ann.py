@@ -199,6 +199,26 @@ def test_recall(spark, shard):
         assert all(abs(s - float(x[i].astype(float) @ x[q].astype(float))) < 1e-9 for i, s in found)
 
 
+@pytest.mark.parametrize("scale", [1e25, 1e-25, 1e140, 1e200])
+def test_recall_at_any_scale(spark, scale):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 12)) * scale
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, block=7, shard=150).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got.keys() == set(range(0, 400, 20)) and all(len(v) == 20 for v in got.values())
+    if scale < 1e150:  # beyond, inner products leave double precision and most are infinite
+        hits = sum(len({i for i, _ in got[q]} & {i for i, _ in v}) for q, v in brute_nearest(list(range(400)), x, got, 20).items())
+        assert hits >= 0.95 * 20 * len(got)
+
+
+def test_one_id_of_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (0, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 1.5), (1, 1.0)]
+
+
 def test_copies_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     same = rng.normal(size=6).astype(np.float32)

@@ -146,9 +146,9 @@ def test_stitching_is_linear(coder):
     """Tens of millions of characters, with and without boundaries in common, stitch in seconds."""
     for text, most in (("word and 12345 more, " * 1_000_000, 25), ("x" * 10_000_000, 15), ("1234567890" * 200_000, 15)):
         parts = [bpe.boundaries(coder.pattern, text[s : s + bpe.CHUNK + bpe.OVERLAP], s, s + bpe.CHUNK + bpe.OVERLAP >= len(text)) for s in range(0, len(text), bpe.CHUNK)]
-        began = time.process_time()
+        began = time.thread_time()
         cuts = bpe.stitch(coder.pattern, text, parts, bpe.CHUNK)
-        assert time.process_time() - began < most
+        assert time.thread_time() - began < most
         assert cuts == sorted(set(cuts)) and cuts[-1] <= len(text)
 
 

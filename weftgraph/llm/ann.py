@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
 Equal vectors are folded first (each distinct vector keeps its ``k + 1`` smallest ids, all that a top-k list
-can ever need), then dealt by hash into shards of about ``SHARD`` vectors. Each shard is one directed graph,
+can ever need), then dealt by hash into shards of about ``SHARD_BYTES``. Each shard is one directed graph,
 built by inserting its vectors in batches of doubling size: a greedy beam search over the graph so far
 proposes neighbours, relaxed distance pruning keeps a diverse few (a candidate is dropped if a kept one is
 ``ALPHA`` times closer to it than the new vector is), and the reverse edges are pruned alike. Distances
 are Euclidean after one more coordinate has made all norms equal, so the nearest vector is the one of largest
-inner product. A query block meets every shard: beam search from a few fixed entries proposes vectors, whose
-inner products are computed in double precision from the original components; the best over all shards win.
+inner product. Search runs in single precision on vectors divided by the shard's largest component, so neither
+huge nor tiny ones leave its range. Every query meets every shard: a task holds one shard's index and streams a
+block of up to ``QUERIES`` queries past it; beam search from a few fixed entries proposes vectors, whose inner
+products are computed in double precision from the original components; the best over all shards win.
 
 All vectors are indexed and all candidates are reached by search, none by scanning; README has the recall.
 
 Defined results: a vector that is null, zero, of a length other than the table's most frequent one, or with a
-null or non-finite component takes no part, nor does a row without id; ties go to the smaller id; fewer
-than k candidates give all that were found; repeated rows of one id count once; an empty table gives an
-empty result; other columns are not read.
+null or non-finite component takes no part, nor does a row without id; ties go to the smaller id; an inner
+product beyond double precision is infinite as such, one that is no number ranks last; fewer than k candidates
+give all that were found; repeated rows of one id count once, with the vector that is least component by
+component; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kept, materialize, named, scratch
 
 K = 20
-SHARD = 8192
-QUERIES = 4096
+SHARD_BYTES = 20_000_000
+QUERIES = 65_536
 DEGREE = 32
 BEAM = 64
 SEARCH_BEAM = 128
@@ -165,77 +168,116 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(d, lambda x: x != 0)
 
 
-def _build(table):
+def _scaled(vectors):
+    """As float32, divided by the largest component."""
+    import numpy as np
+
+    return (vectors / max(np.abs(vectors).max(initial=0), np.finfo(float).tiny)).astype(np.float32)
+
+
+INDEX = "shard int, vectors binary, graph binary, entries binary, sizes binary, ids binary"
+
+
+def _build(batches):
     import numpy as np
     import pyarrow as pa
 
-    table = table.sort_by("node")
-    vectors = np.array(table.column("vector").to_pylist(), np.float64)
-    graph, entries = build_graph(vectors.astype(np.float32))
-    ids = table.column("ids").to_pylist()
-    return pa.table(
-        {
-            "shard": table.column("shard").slice(0, 1),
-            "vectors": pa.array([vectors.tobytes()], pa.binary()),
-            "graph": pa.array([graph.tobytes()], pa.binary()),
-            "entries": pa.array([entries.tobytes()], pa.binary()),
-            "sizes": pa.array([np.array([len(x) for x in ids], np.int32).tobytes()], pa.binary()),
-            "ids": pa.array([np.array([i for x in ids for i in x], np.int64).tobytes()], pa.binary()),
-        }
-    )
+    batches = list(batches)  # a shard
+    if not sum(b.num_rows for b in batches):
+        return
+    table = pa.Table.from_batches(batches).sort_by("node")
+    vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    graph, entries = build_graph(_scaled(vectors))
+    ids = table.column("ids").combine_chunks()
+    parts = (vectors, graph, entries, ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False))
+    yield pa.RecordBatch.from_arrays([table.column("shard").combine_chunks().slice(0, 1), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts)], [c.split()[0] for c in INDEX.split(", ")])
+
+
+class Shard:
+    """An index that was read back."""
+
+    def __init__(self, row: dict):
+        import numpy as np
+
+        self.sizes = np.frombuffer(row["sizes"], np.int32)
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(self.sizes), -1)
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(len(self.sizes), -1)
+        self.entries = np.frombuffer(row["entries"], np.int32)
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.points = _scaled(self.vectors)
+
+    def nearest(self, wanted, queries, k: int, beam: int):
+        """(query ids, vec ids, scores) of the k best found for each query."""
+        import numpy as np
+
+        scale = np.abs(queries).max(1, keepdims=True)
+        found, _, _ = beam_search((queries / scale).astype(np.float32), self.points, self.graph, self.entries, beam)
+        with np.errstate(all="ignore"):
+            score = np.einsum("ijk,ik->ij", self.vectors[np.maximum(found, 0)], queries)
+        out = []
+        for i, own in enumerate(wanted):
+            nodes, s = found[i][found[i] >= 0], score[i][found[i] >= 0]
+            vec = np.concatenate([self.ids[self.begin[x] : self.begin[x] + self.sizes[x]] for x in nodes])
+            s = np.repeat(s, self.sizes[nodes])
+            s, vec = s[vec != own], vec[vec != own]
+            best = np.lexsort((vec, -np.where(np.isnan(s), -np.inf, s)))[:k]
+            out.append((np.full(len(best), own), vec[best], s[best]))
+        return list(map(np.concatenate, zip(*out, strict=True)))
 
 
 def _search(k: int, beam: int):
-    def run(index, queries):
+    """Rows come sorted by group and kind: each group is the index of a shard and then its queries."""
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-        if not index.num_rows or not queries.num_rows:
-            return pa.table(empty)
-        sizes = np.frombuffer(index.column("sizes")[0].as_py(), np.int32)
-        vectors = np.frombuffer(index.column("vectors")[0].as_py(), np.float64).reshape(len(sizes), -1)
-        graph = np.frombuffer(index.column("graph")[0].as_py(), np.int32).reshape(len(sizes), -1)
-        entries = np.frombuffer(index.column("entries")[0].as_py(), np.int32)
-        ids = np.frombuffer(index.column("ids")[0].as_py(), np.int64)
-        begin = np.cumsum(sizes) - sizes
-        points = vectors.astype(np.float32)
-        out = []
-        wanted, vector = queries.column("query_id").to_numpy(), np.array(queries.column("vector").to_pylist(), np.float64)
-        for lo in range(0, len(wanted), 256):
-            own, q = wanted[lo : lo + 256], vector[lo : lo + 256]
-            found, _, _ = beam_search(q.astype(np.float32), points, graph, entries, beam)
-            score = np.einsum("ijk,ik->ij", vectors[np.maximum(found, 0)], q)
-            for i in range(len(own)):
-                nodes, s = found[i][found[i] >= 0], score[i][found[i] >= 0]
-                vec = np.concatenate([ids[begin[x] : begin[x] + sizes[x]] for x in nodes])
-                s = np.repeat(s, sizes[nodes])
-                s, vec = s[vec != own[i]], vec[vec != own[i]]
-                best = np.lexsort((vec, -s))[:k]
-                out.append((np.full(len(best), own[i]), vec[best], s[best]))
-        return pa.table(dict(zip(empty, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+        shard = of = None
+        for batch in batches:
+            kind, groups = batch.column("kind").to_numpy(), batch.column("group").to_numpy()
+            cuts = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(groups, prepend=-1) != 0)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(kind)], strict=True):
+                part = batch.slice(a, b - a)
+                if not kind[a]:
+                    shard = Shard(part.select(["vectors", "graph", "entries", "sizes", "ids"]).to_pylist()[0])
+                    of = groups[a]
+                    continue
+                if of != groups[a]:  # a shard that no vector fell into
+                    continue
+                wanted = part.column("query_id").to_numpy()
+                vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(wanted), -1)
+                for lo in range(0, len(wanted), 256):
+                    found = shard.nearest(wanted[lo : lo + 256], vectors[lo : lo + 256], k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard: int = SHARD, beam: int = SEARCH_BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows where the condition ``queries`` holds, against all rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    common = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    rows = rows.filter(F.size("vector") == (common[0]["size"] if common else 0))
-
-    first = rows.select("vec_id", "vector").withColumn("nth", F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
-    nodes = first.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("node", F.col("ids")[0])
-    nodes = materialize(nodes, "ann-nodes")
-    shards = max(1, -(-nodes.count() // shard))
-    index = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, "shard int, vectors binary, graph binary, entries binary, sizes binary, ids binary")
-    index = materialize(index, "ann-index")
-
-    asked = materialize(rows.filter("asks").select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"]), "ann-queries")
-    blocks = max(1, -(-asked.count() // QUERIES))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k, beam), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard: int | None = None, beam: int = SEARCH_BEAM, block: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows where the condition ``queries`` holds, against all rows. shard: vectors in one, else by SHARD_BYTES."""
+    with scratch(vectors.sparkSession):
+        rows = vectors.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+        rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+        common = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+        size = common[0]["size"] if common else 0
+        rows = rows.filter(F.size("vector") == size).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+        rows = materialize(rows, "ann-rows")
+
+        first = rows.select("vec_id", "vector").withColumn("nth", F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
+        nodes = first.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("node", F.col("ids")[0])
+        nodes = materialize(nodes, "ann-nodes")
+        shard = shard or max(1, SHARD_BYTES // (8 * size + 4 * DEGREE))
+        shards = max(1, -(-nodes.count() // shard))
+        dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+        index = materialize(dealt.repartitionById(shards, F.col("shard")).mapInArrow(_build, INDEX), "ann-index")
+
+        asked = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "vector")
+        blocks = max(1, -(-asked.count() // block))
+        group = lambda s, b: (s * F.lit(blocks) + b).cast("int").alias("group")
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(group(F.col("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks))), F.lit(1).alias("kind"), "query_id", "vector")
+        index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(group(F.col("shard"), F.col("block")), F.lit(0).alias("kind"), *[c for c in index.columns if c != "shard"])
+        streams = index.unionByName(asked, allowMissingColumns=True).repartitionById(shards * blocks, F.col("group")).sortWithinPartitions("group", "kind")
+        found = streams.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy(F.desc(F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))), "vec_id")
+        return kept(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-nearest")

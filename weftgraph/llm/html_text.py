@@ -1,21 +1,33 @@
 """Main text of web pages by site template removal.
 
-A lenient scanner turns a page into a tree of elements. Each element subtree outside the main content is
-hashed bottom-up (tag, attributes, text, children's hashes), those that hold main content apart; Spark counts on how many pages of a host each
-hash occurs; subtrees that recur on at least ``MIN_PAGES`` pages and ``SHARE`` of a host's pages are its
-template and are deleted. With them go elements that are boilerplate by their kind (navigation, page
-headers and footers, asides, forms, scripts, styles) or by class, id or role (adverts, notices, sidebars,
-menus, reader comments). The main content is what ``article`` elements hold, else ``main``, else the body;
-inside them recurring subtrees are counted by different articles of a host, not pages, and deleted from an
-article they are at most half of, so an article printed on several pages of a host, with small changes or
-none, stays whole on each.
-
-A host has at most (subtrees of a page) / SHARE template hashes, so the list a page is compared with is
-bounded however large its host is. The table of all hosts' templates is broadcast only if it is small.
+A lenient scanner turns a page into a tree of elements. Element subtrees are hashed bottom-up in four ways, and
+Spark counts on how many pages of a host each hash occurs:
+
+* content: tag, attributes, text and children, of every block that holds text, outside the main content;
+* content of blocks inside an ``article`` or ``main``, counted by different articles of the host, not pages;
+* frame: tag, class, id and the frames of the children, with runs of like ones as one and without text or links, of
+  containers outside the main content (of lists and tables if all their text is links); with it goes the share
+  of the page's text that it holds where no article or main tells where the text is;
+* slot: tag, class, id and role of elements whose names say advert, notice, sidebar, menu, comment and the like.
+
+What recurs is the host's template and is deleted: contents and frames on at least ``MIN_PAGES`` pages and
+``SHARE`` of the host's pages (frames that hold more than ``FRAME_TEXT`` of the text on average stay), slots on two
+pages and ``SLOT_SHARE``. What holds an article or main never goes. Blocks inside an article go only if they are at
+most half of it, so an article printed on several pages of a host, with small changes or none, stays whole on
+each; pages without article or main count once if they are alike, for contents and frames. Of what is left, elements that are never text by
+their kind (heads, scripts, styles, forms, navigation, asides, page headers and footers) are dropped.
+
+On hosts of fewer than ``MIN_PAGES`` pages nothing can be counted. There kinds and names decide alone, and the text
+is what ``article`` elements hold, else ``main``, else the body.
+
+A host has at most (subtrees of a page) / share template hashes, so the list a page is compared with is bounded
+however large its host is. The table of all hosts' templates is broadcast only if its bytes are few, else it is
+joined by host and salt, so that a large host meets many tasks.
 
 Defined results: null html counts as empty and gives an empty text; a page whose url has no host has no
-template; unclosed, misnested and cut-off markup is read as far as it goes; repeated rows are pages of
-their own; an empty table gives an empty result; other columns are not read.
+template; unclosed, misnested and cut-off markup is read as far as it goes, in time linear in the page (once a tag's
+quotes have run off the end of a page, quotes in later tags mean nothing); repeated rows are pages of their own; an
+empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +38,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, text_slices
+from .common import materialize, named, text_slices
 
 MIN_PAGES = 5
 SHARE = 0.3
-#: Sets hashes of subtrees inside articles apart from those beside them.
-INSIDE = 0x5BD1E995C6A4A793
+SLOT_SHARE = 0.01
+FRAME_TEXT = 0.3
+#: Kinds of hashes, and what sets them apart in one list.
+BESIDE, INSIDE, FRAME, SLOT = range(4)
+APART = (0, 0x5BD1E995C6A4A793, 0x2127599BF4325C37, 0x165667B19E3779F9)
+#: Templates of so many bytes may be broadcast.
+BROADCAST_BYTES = 8_000_000
+SALTS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
@@ -48,72 +66,125 @@ ARTICLE_MARKS = frozenset("ad ads advert adverts advertisement advertising spons
 ABOUT = frozenset("has no with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 CLOSED_BY_BLOCK = "p"
+#: Blocks that running text is made of; their frames say nothing.
+FLOW = frozenset("address blockquote dd dt figcaption figure h1 h2 h3 h4 h5 h6 hr html body li p pre td th tr tbody thead tfoot".split())
+#: Their frames count if all their text is links.
+LISTS = frozenset("dl menu ol table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag without angle brackets inside its quotes.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/><]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
+TAG_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 NAME_WORDS = re.compile(r"[a-z0-9]+")
+NUMBER = re.compile(r"[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "digest")
+    __slots__ = ("tag", "attributes", "children", "digest", "frame", "size", "linked")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
-        self.digest = 0
+        self.digest = self.frame = self.size = 0
+        self.linked = True  # no text outside links
+
+
+class Open:
+    """The open elements, with the places of each tag and of blocks, so that no search runs over the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str] | None]:
+    """(start, end, whether it ends an element, name, attributes) of each tag, and of comments with an empty name; the caller may send where to go on."""
+    at, end, last, quotes = 0, len(html), html.rfind(">"), True
+    while 0 <= (at := html.find("<", at)) < end:
+        lead = html[at + 1 : at + 2]
+        if html.startswith("<!--", at):
+            stop = html.find("-->", at + 4)
+            found = (at, stop + 3 if stop >= 0 else end, False, "", "")
+        elif lead and lead in "!?":
+            stop = html.find(">", at)
+            found = (at, stop + 1 if stop >= 0 else end, False, "", "")
+        elif at > last:
+            return
+        elif m := TAG.match(html, at):
+            found = (at, m.end(), bool(m[1]), m[2], m[3])
+        elif m := TAG_NAME.match(html, at):
+            stop = m.end()
+            while quotes and (x := STOP.search(html, stop)) and x[0] != ">":
+                stop = html.find(x[0], x.end()) + 1
+                if not stop:
+                    x = None
+                    break
+            else:
+                x = x if quotes else None
+            quotes = quotes and x is not None
+            stop = x.start() if x else html.find(">", m.end())
+            if stop < 0:
+                at += 1
+                continue
+            found = (at, stop + 1, bool(m[1]), m[2], html[m.end() : stop])
+        else:
+            at += 1
+            continue
+        at = (yield found) or found[1]
 
 
 def parse(html: str) -> Node:
     """The tree of a page; texts keep their character references."""
     root = Node("#page")
-    stack = [root]
+    held, stack = (opened := Open(root)), opened.stack
     at, end = 0, len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
+    found = tags(html)
+    token = next(found, None)
+    while token:
+        start, stop, closing, name, attributes = token
+        if start > at:
+            stack[-1].children.append(html[at:start])
+        at, tag = stop, name.lower()
+        if closing:
+            if place := held.last((tag,)):
+                held.close(place)
+        elif tag:
+            if tag in BLOCKS and (place := held.last((CLOSED_BY_BLOCK,))) and place >= (held.blocks[-1] if held.blocks else 0):
+                held.close(place)  # formatting left open inside a paragraph goes with it
+            if tag in SIBLINGS and (place := held.last(SIBLINGS[tag])) > held.last(SCOPES[tag]):
+                held.close(place)
+            node = Node(tag, attributes)
+            stack[-1].children.append(node)
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
+                node.children.append(html[at : close.start() if close else end])
+                at = close.end() if close else end
+            elif not (tag in VOID or attributes.endswith("/") and tag not in BLOCKS):
+                held.push(node)
+        try:
+            token = found.send(at)
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        tag = name.lower()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in BLOCKS and stack[-1].tag != CLOSED_BY_BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # formatting left open inside a paragraph
-                if stack[k].tag == CLOSED_BY_BLOCK:
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        elif tag in BLOCKS:
-            stack.pop()
-        if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPES[tag]:
-                    break
-                if stack[k].tag in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-        attributes = m[3] or m[6] or ""
-        node = Node(tag, attributes)
-        stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(html, at)
-            node.children.append(html[at : close.start() if close else end])
-            at = close.end() if close else end
-            continue
-        stack.append(node)
     if at < end:
         stack[-1].children.append(html[at:])
     return root
@@ -152,8 +223,13 @@ def boilerplate(node: Node, in_main: bool, by_name: bool = True) -> bool:
     return not MARKS.isdisjoint(marks(node)) or (attribute(node, "role") or "").lower() in ROLES
 
 
+def names(node: Node) -> str:
+    """Its class and id, with numbers alike."""
+    return NUMBER.sub("0", " ".join(filter(None, (attribute(node, a) for a in ("class", "id"))))) if node.attributes else ""
+
+
 def digest(node: Node) -> int:
-    """Hash a subtree bottom-up, without recursion; digests stay at the nodes."""
+    """Hash a subtree bottom-up, without recursion; content and frame digests and sizes of texts stay at the nodes."""
     import xxhash
 
     todo = [(node, False)]
@@ -164,12 +240,46 @@ def digest(node: Node) -> int:
             todo.extend((c, False) for c in x.children if isinstance(c, Node))
             continue
         h = xxhash.xxh64(f"{x.tag}\0{' '.join(x.attributes.split())}")
+        shape: list = []
         for c in x.children:
-            h.update(f"\0{c.digest}" if isinstance(c, Node) else f"\1{' '.join(c.split())}")
+            if isinstance(c, Node):
+                h.update(f"\0{c.digest}")
+                x.size += c.size
+                x.linked = x.linked and c.linked
+                part = c.frame if c.tag in BLOCKS else "a" if c.tag == "a" else "t"
+            else:
+                text = " ".join(c.split())
+                h.update(f"\1{text}")
+                x.size += len(text)
+                x.linked = x.linked and not text
+                part = "t" if text else None
+            if part is not None and (not shape or shape[-1] != part):
+                shape.append(part)
+        if x.tag == "a":
+            x.linked = True
         x.digest = h.intdigest() - (1 << 63)
+        if x.tag in BLOCKS:
+            x.frame = xxhash.xxh64(f"{x.tag}\0{names(x)}\0{shape}").intdigest() - (1 << 63)
     return node.digest
 
 
+def framed(x: Node) -> bool:
+    """Whether its frame counts."""
+    return x.tag in BLOCKS and x.tag not in FLOW and bool(x.children) and (x.tag not in LISTS or x.linked)
+
+
+def slot(x: Node) -> int | None:
+    """The hash of an element that is marked as boilerplate by its names."""
+    if not x.attributes or x.tag in ("html", "body", "main"):
+        return None
+    role = (attribute(x, "role") or "").lower()
+    if (ARTICLE_MARKS if x.tag == "article" else MARKS).isdisjoint(marks(x)) and (role not in ROLES or x.tag == "article"):
+        return None
+    import xxhash
+
+    return xxhash.xxh64(f"{x.tag}\0{names(x)}\0{role}").intdigest() - (1 << 63)
+
+
 def walk(root: Node) -> Iterator[Node]:
     """Element nodes in page order."""
     todo = [root]
@@ -188,28 +298,34 @@ def holders(root: Node) -> set[Node]:
     return out
 
 
-def template_candidates(html: str) -> list[tuple[int | None, set[int]]]:
-    """Hashes of the block subtrees of a page that hold text but no article or main, each once: those beside the main
-    content, under None, then those of each article (of each main if there is none) under the hash of the whole."""
+def template_candidates(html: str) -> list[tuple[int, int | None, dict[int, float]]]:
+    """What a page adds to the counts, as (kind of hash, unit, hashes with their shares of the page's text).
+
+    A hash counts once a page, but once for each different unit where there is one: the hash of an article (of a main
+    if there is none) for blocks inside it, the hash of the whole page where it has neither."""
     root = parse(html)
     digest(root)
     holding = holders(root)
     held = [x for x in walk(root) if x.tag in ("article", "main") and not boilerplate(x, False)]
-    unit = "article" if any(x.tag == "article" for x in held) else "main"
-    tops = [x for x in held if x.tag == unit]
-    out: list[tuple[int | None, set[int]]] = []
+    kind = "article" if any(x.tag == "article" for x in held) else "main"
+    tops = [x for x in held if x.tag == kind]
+    out: list[tuple[int, int | None, dict[int, float]]] = []
+    frames: dict[int, float] = {}
+    slots = {s: 0.0 for x in walk(root) if x not in holding and (s := slot(x)) is not None}
     for top in [root, *tops]:
-        found: set[int] = set()
+        found: dict[int, float] = {}
         todo = [top]
         while todo:
             x = todo.pop()
             if x is not top and x.tag in ("article", "main"):
                 continue
             if x.tag in BLOCKS and x.children and x.tag not in ("html", "body") and x not in holding:
-                found.add(x.digest if top is root else x.digest ^ INSIDE)
+                found[x.digest ^ APART[BESIDE if top is root else INSIDE]] = 0.0
+                if top is root and framed(x):
+                    frames[x.frame ^ APART[FRAME]] = frames.get(x.frame ^ APART[FRAME], 0.0) + (0.0 if holding else x.size / max(1, root.size))
             todo.extend(c for c in x.children if isinstance(c, Node))
-        out.append((None if top is root else top.digest, found))
-    return out
+        out.append((BESIDE, None if holding else root.digest, found) if top is root else (INSIDE, top.digest, found))
+    return [*out, (FRAME, None if holding else root.digest, frames), (SLOT, None, {s ^ APART[SLOT]: 0.0 for s in slots})]
 
 
 def carries(top: Node, template: set[int]) -> bool:
@@ -222,30 +338,38 @@ def carries(top: Node, template: set[int]) -> bool:
             n = len("".join(x.split()))
             size, gone = size + n, gone + n * recurs
         elif x is top or not boilerplate(x, True):
-            recurs = recurs or x is not top and x.digest ^ INSIDE in template
+            recurs = recurs or x is not top and x.digest ^ APART[INSIDE] in template
             todo.extend((c, recurs) for c in x.children)
     return 0 < gone <= size / 2
 
 
-def main_text(html: str | None, template: set[int]) -> str:
-    import html as entities
-
-    root = parse(html or "")
-    if template:
-        digest(root)
+def articles(root: Node) -> list[Node]:
+    """The outermost elements that hold the text, where kinds and names alone decide."""
     kept: list[Node] = []
     # Names may mislead about what holds the article, so a second look goes by kind alone.
     for wanted, by_name in (("article", True), ("main", True), ("article", False), ("main", False)):
         todo = [root]
-        while todo:  # outermost elements that no deleted subtree holds
+        while todo:
             x = todo.pop()
             if x.tag == wanted and not boilerplate(x, False, by_name):
                 kept.append(x)
-            elif not boilerplate(x, False, by_name) and x.digest not in template:
+            elif not boilerplate(x, False, by_name):
                 todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
         if kept:
             break
-    whole = not kept
+    return kept
+
+
+def main_text(html: str | None, template: frozenset[int] | set[int], judged: bool = False) -> str:
+    """The text of a page less its host's template; not judged: nothing could be counted on its host."""
+    import html as entities
+
+    root = parse(html or "")
+    kept = [] if judged else articles(root)
+    holding: set[Node] = set()
+    if judged:
+        digest(root)
+        holding = holders(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -254,26 +378,44 @@ def main_text(html: str | None, template: set[int]) -> str:
             blocks.append(text)
         run.clear()
 
+    def recurs(x: Node, inside: bool, cleared: bool) -> bool:
+        if inside:
+            if cleared and x.digest ^ APART[INSIDE] in template:
+                return True
+        elif x.digest in template or framed(x) and x.frame ^ APART[FRAME] in template:
+            return True
+        s = slot(x)
+        return s is not None and s ^ APART[SLOT] in template
+
     for top in kept or [root]:
-        cleared = bool(template) and not whole and carries(top, template)
-        todo: list = [top]
+        # (element or text, whether it is inside an article or main, whether recurring blocks go from there); None closes a block.
+        todo: list = [(top, bool(kept), False)]
         while todo:
-            x = todo.pop()
+            x, inside, cleared = todo.pop()
             if x is None:
                 close()
-            elif isinstance(x, str):
+                continue
+            if isinstance(x, str):
                 run.append(x)
-            elif x.tag in ("br", "wbr"):
+                continue
+            if x.tag in ("br", "wbr"):
                 run.append(" " if x.tag == "br" else "")
-            elif x is not top and boilerplate(x, not whole) or whole and x.digest in template or cleared and x is not top and x.digest ^ INSIDE in template:
+                continue
+            if judged:
+                main = x.tag in ("article", "main")
+                gone = boilerplate(x, inside, False) or (template and x not in holding and recurs(x, inside, cleared)) or (x.tag == "article" and (s := slot(x)) is not None and s ^ APART[SLOT] in template)
+                if main and not inside:
+                    inside, cleared = True, bool(template) and carries(x, template)
+            else:
+                gone = x is not top and boilerplate(x, bool(kept))
+            if gone:
                 if x.tag in BLOCKS:
                     close()
-            elif x.tag in BLOCKS or x.tag == "#page":
+                continue
+            if x.tag in BLOCKS or x.tag == "#page":
                 close()
-                todo.append(None)
-                todo.extend(reversed(x.children))
-            else:
-                todo.extend(reversed(x.children))
+                todo.append((None, inside, cleared))
+            todo.extend((c, inside, cleared) for c in reversed(x.children))
         close()
     return "\n".join(blocks)
 
@@ -283,23 +425,33 @@ def host_of(url):
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """host, template (array<long>) of each host that has one."""
+    """host, template (array<long>) of each host that has enough pages; the template may be empty."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for part in text_slices(batch, "html"):
-                found = [(h, unit, sorted(x)) for h, t in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True) for unit, x in template_candidates(t or "")]
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.string()), pa.array([u for _, u, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.list_(pa.int64()))], ["host", "unit", "found"])
-
-    hosts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host <> ''")
-    # A null element stands for the page or article itself, so one aggregation counts both. Pages count each, articles by their different texts.
-    rows = hosts.mapInArrow(run, "host string, unit long, found array<long>").select("host", "unit", F.explode(F.array_append("found", F.lit(None).cast("long"))).alias("subtree"))
-    once = rows.groupBy("host", "unit", "subtree").agg(F.count(F.lit(1)).alias("n")).select("host", "subtree", F.col("unit").isNotNull().alias("inside"), F.when(F.col("unit").isNull(), F.col("n")).otherwise(1).alias("n"))
-    counts = materialize(once.groupBy("host", "inside", "subtree").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages), "html-counts")
-    totals = counts.filter("subtree IS NULL").select("host", "inside", F.col("n").alias("all"))
-    often = counts.filter("subtree IS NOT NULL").join(totals, ["host", "inside"]).filter(F.col("n") >= F.col("all") * share)
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+                found = [(h, *x) for h, t in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True) for x in template_candidates(t or "")]
+                shares = pa.array([list(x.items()) for *_, x in found], pa.map_(pa.int64(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, *_ in found], pa.string()), pa.array([k for _, k, _, _ in found], pa.int32()), pa.array([u for _, _, u, _ in found], pa.int64()), shares], ["host", "kind", "unit", "found"])
+
+    hosts = pages.select(host_of(named(url_col)).alias("host"), named(html_col).alias("html")).filter("host <> ''")
+    rows = hosts.mapInArrow(run, "host string, kind int, unit long, found map<long,double>")
+    # A row without subtree stands for the page or article itself, so one aggregation counts both.
+    entries = F.concat(F.map_entries("found"), F.array(F.struct(F.lit(None).cast("long").alias("key"), F.lit(0.0).alias("value"))))
+    rows = rows.select("host", "kind", "unit", F.explode(entries).alias("x")).select("host", "kind", "unit", F.col("x.key").alias("subtree"), F.col("x.value").alias("held"))
+    once = rows.groupBy("host", "kind", "unit", "subtree").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"))
+    counted = once.groupBy("host", "kind", "subtree").agg(F.sum(F.when(F.col("unit").isNull(), F.col("n")).otherwise(1)).alias("n"), F.sum(F.when(F.col("unit").isNull(), F.col("held")).otherwise(F.col("held") / F.col("n"))).alias("held"))
+    is_slot = F.col("kind") == SLOT
+    counts = materialize(counted.filter(F.col("subtree").isNull() | (F.col("n") >= F.when(is_slot, 2).otherwise(min_pages))), "html-counts")
+    totals = counts.filter("subtree IS NULL").select("host", "kind", F.col("n").alias("all"))
+    salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    often = counts.filter("subtree IS NOT NULL").withColumn("salt", F.pmod("subtree", F.lit(SALTS)).cast("int")).join(salted, ["host", "kind", "salt"])
+    often = often.filter(F.when(is_slot, F.col("n") >= F.col("all") * SLOT_SHARE).otherwise(F.col("n") >= F.col("all") * share) & ((F.col("kind") != FRAME) | (F.col("held") <= F.col("n") * FRAME_TEXT)))
+    lists = often.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+    judged = totals.filter((F.col("kind") == FRAME) & (F.col("all") >= min_pages)).select("host")
+    return judged.join(lists, "host", "left").select("host", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
 
 def text_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -316,9 +468,14 @@ def text_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 for html, host, template in zip(*(part.column(c).to_pylist() for c in ("html", "host", "template")), strict=True):
                     if template and host not in known:
                         known = {host: frozenset(template)} if len(known) > 1000 else known | {host: frozenset(template)}
-                    texts.append(main_text(html, known[host] if template else frozenset()))
+                    texts.append(main_text(html, known[host] if template else frozenset(), template is not None))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    rows = rows.join(broadcast_if_small(templates, templates.count()), "host", "left")
+    rows = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).alias("url"), named(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    size = templates.agg(F.sum(F.octet_length("host") + 8 * F.size("template") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(templates), "host", "left")
+    else:
+        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     return rows.select("page_id", "url", "html", "host", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -10,12 +10,13 @@ sum of posteriors, weighted by letters, and its score is that share.
 Training labels are known per document only. A first fit gives all words their document's language; its
 posteriors, under sticky transitions, relabel the words, so foreign passages take their own language; the
 chain is then fitted to those labels. It uses a hash sample of about ``SAMPLE`` labelled documents, with about
-``LEAST`` of each language or all it has, and of each document
-``WINDOW`` words around a hashed position; all other work covers whole texts.
+``LEAST`` of each language or all it has, and all words of each; the fit cuts them into chains of ``PIECE`` words,
+so only the transitions at the cuts are not learned from. All other work covers whole texts as one chain each.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or if nothing could be
-learned; ties go to the language first by code point; a null lang teaches nothing; an empty table gives an
-empty result; repeated rows are labelled each; other columns are not read.
+learned; ties go to the language first by code point; a null lang teaches nothing; words and texts of any length
+are read whole; an empty table gives an empty result; repeated rows are labelled each; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,18 +28,31 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_slices, worker_cache
+from .common import fold, named, sampled, text_slices, worker_cache
 
 SAMPLE = 3_000
 #: Documents to learn a language from, where it has so many.
 LEAST = 100
-WINDOW = 300
+PIECE = 256
 BITS = 16
-LONGEST = 40
-WORDS = rf"[^\W\d_]{{1,{LONGEST}}}"
+WORDS = r"[^\W\d_]+"
 CACHE = 400_000
 #: Numbers in one padded array of likelihoods.
 CELLS = 4_000_000
+#: Letters of words looked at at once; a longer word is looked at alone.
+LETTERS = 400_000
+
+
+def by_length(words: list[str]) -> Iterator[list[int]]:
+    """The words' places in groups of like length and bounded size."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    first = 0
+    for k, i in enumerate(order):
+        if k > first and (k + 1 - first) * len(words[i]) > LETTERS:
+            yield order[first:k]
+            first = k
+    if order:
+        yield order[first:]
 
 
 def slots(words: list[str], lexicon: dict[str, int]):
@@ -67,10 +81,22 @@ def slots(words: list[str], lexicon: dict[str, int]):
         out.append(np.where(size >= k, hashed(gram[k - 1][rows, np.maximum(size - k, 0)], 10 + k), 0))
     four = gram[2][rows, np.maximum(size - 4, 0)] ^ c[rows, np.maximum(size - 1, 0)] * np.uint64(0x2545F4914F6CDD1D)
     out.append(np.where(size >= 4, hashed(four, 20), 0))
+    inner = []
     for k in (2, 3):
-        for j in range(width - k + 1):
-            out.append(np.where(size >= j + k, hashed(gram[k - 1][:, j], 30 + k), 0))
-    return np.stack(out, 1)
+        if (places := width - k + 1) > 0:
+            inner.append(np.where(size[:, None] >= np.arange(k, places + k), hashed(gram[k - 1][:, :places], 30 + k), 0))
+    return np.concatenate([np.stack(out, 1), *inner], 1)
+
+
+def summed(table, found):
+    """The sums of the found rows of a table, by row of found."""
+    import numpy as np
+
+    e = np.zeros((len(found), table.shape[1]), np.float32)
+    step = max(1, CELLS // 4 // max(1, e.size))
+    for j in range(0, found.shape[1], step):
+        e += table[found[:, j : j + step]].sum(1)
+    return e
 
 
 def forward_backward(p, transition, start, lengths, weights=None, pairs: bool = False):
@@ -126,33 +152,33 @@ class Chain:
         import numpy as np
 
         out = np.empty((len(words), len(self.langs)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for k in range(0, len(order), 20_000):
-            part = order[k : k + 20_000]
-            found = slots([words[i] for i in part], self.lexicon)
-            e = self.table[found[:, 0]].copy()
-            for j in range(1, found.shape[1]):
-                e += self.table[found[:, j]]
+        for part in by_length(words):
+            e = summed(self.table, slots([words[i] for i in part], self.lexicon))
             out[part] = np.exp(e - e.max(1, keepdims=True)) + 1e-12
         return out
 
 
-def _sequences(ids: list, emissions, langs: int):
-    """Padded likelihoods of sequences ordered from long to short."""
+def _sequences(ids: list, emissions, langs: int) -> Iterator:
+    """Padded likelihoods and lengths of sequences ordered from long to short, in groups of bounded size, with their places."""
     import numpy as np
 
-    lengths = np.array([len(x) for x in ids])
-    p = np.ones((int(lengths[0]), len(ids), langs), np.float32)
-    for k, x in enumerate(ids):
-        p[: len(x), k] = emissions[x]
-    return p, lengths
+    at = 0
+    while at < len(ids):
+        longest = len(ids[at])
+        group = ids[at : at + max(1, CELLS // (longest * langs))]
+        p = np.ones((longest, len(group), langs), np.float32)
+        for k, x in enumerate(group):
+            p[: len(x), k] = emissions[x]
+        yield at, p, np.array([len(x) for x in group])
+        at += len(group)
 
 
 def fit(samples: list[tuple[str, list[str]]], first: int = 40, rounds: int = 12, ridge: float = 1e-6) -> Chain:
     """From (language, words) of each sampled document."""
     import numpy as np
 
-    samples = sorted((x for x in samples if x[1]), key=lambda x: (-len(x[1]), x))
+    pieces = ((lang, words[k : k + PIECE]) for lang, words in samples for k in range(0, len(words), PIECE))
+    samples = sorted(pieces, key=lambda x: (-len(x[1]), x))
     langs = sorted({x for x, _ in samples})
     if not langs:
         return Chain()
@@ -162,15 +188,14 @@ def fit(samples: list[tuple[str, list[str]]], first: int = 40, rounds: int = 12,
     words = list(index)
     often = np.bincount(flat, minlength=len(words))
     lexicon = {w: 1 + (1 << BITS) + k for k, w in enumerate(w for w, c in zip(words, often, strict=True) if c > 1)}
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    groups = [(g, slots([words[i] for i in g], lexicon)) for g in (order[k : k + 20_000] for k in range(0, len(order), 20_000))]
+    groups = [(g, slots([words[i] for i in g], lexicon)) for g in by_length(words)]
     model = Chain(langs, lexicon, np.zeros((1 + (1 << BITS) + len(lexicon), n), np.float32))
     square = np.zeros_like(model.table)
 
     def scores():
         e = np.empty((len(words), n), np.float32)
         for g, found in groups:
-            e[g] = model.table[found].sum(1)
+            e[g] = summed(model.table, found)
         return e
 
     def ascend(gradient, rate: float) -> None:
@@ -193,18 +218,22 @@ def fit(samples: list[tuple[str, list[str]]], first: int = 40, rounds: int = 12,
     like = lambda: np.exp((e := scores()) - e.max(1, keepdims=True)) + 1e-12
     sticky = np.full((n, n), 0.02 / max(1, n - 1)) + np.eye(n) * (0.98 - 0.02 / max(1, n - 1))
     start = np.bincount([langs.index(x) for x, _ in samples], minlength=n) / len(samples)
-    p, lengths = _sequences(ids, like(), n)
-    gamma, _ = forward_backward(p, sticky.astype(np.float32), start.astype(np.float32), lengths)
-    told = [gamma[: len(x), k].argmax(1) for k, x in enumerate(ids)]
+    told = []
+    for at, p, lengths in _sequences(ids, like(), n):
+        gamma, _ = forward_backward(p, sticky.astype(np.float32), start.astype(np.float32), lengths)
+        told += [gamma[: len(x), k].argmax(1) for k, x in enumerate(ids[at : at + len(lengths)])]
     observed = np.bincount(np.concatenate([t[:-1] * n + t[1:] for t in told]), minlength=n * n).reshape(n, n)
     target = np.bincount(flat * n + np.concatenate(told), minlength=len(words) * n).reshape(-1, n)
     model.transition, model.start = np.log(sticky), np.log(start + 1e-6)
     moved = np.zeros((n, n))
     for _ in range(rounds):
-        p, lengths = _sequences(ids, like(), n)
         weight = np.exp(model.transition).astype(np.float32)
-        gamma, expected = forward_backward(p, weight, np.exp(model.start).astype(np.float32), lengths, pairs=True)
-        post = np.concatenate([gamma[: len(x), k] for k, x in enumerate(ids)])
+        expected, post = np.zeros((n, n)), []
+        for at, p, lengths in _sequences(ids, like(), n):
+            gamma, moves = forward_backward(p, weight, np.exp(model.start).astype(np.float32), lengths, pairs=True)
+            expected += moves
+            post += [gamma[: len(x), k] for k, x in enumerate(ids[at : at + len(lengths)])]
+        post = np.concatenate(post)
         ascend(target - np.stack([np.bincount(flat, post[:, k], len(words)) for k in range(n)], 1), 0.1)
         slope = observed - expected
         moved += slope**2
@@ -212,32 +241,27 @@ def fit(samples: list[tuple[str, list[str]]], first: int = 40, rounds: int = 12,
     return model
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, window: int = WINDOW) -> Chain:
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Chain:
+    known = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang")).filter((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # One row a language, of which there are few.
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return fit([])
-    share = sample / sum(counts.values())
-    cuts = chain.from_iterable((F.lit(k), F.lit(round(min(1.0, max(share, LEAST / n)) * 1_000_000))) for k, n in sorted(counts.items()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < F.create_map(*cuts)[F.col("lang")])
+    share, wanted = sample / sum(counts.values()), F.lit(False)
+    for lang, n in sorted(counts.items()):
+        wanted = wanted | ((F.col("lang") == lang) & sampled(F.col("doc_id"), max(share, LEAST / n), 13))
 
     def run(batches: Iterator) -> Iterator:
         import re
-        import zlib
 
         import pyarrow as pa
 
         find = re.compile(WORDS).findall
         for batch in batches:
-            some = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = find(text.lower())
-                at = zlib.crc32(str(doc_id).encode()) % max(1, len(words) - window + 1)
-                some.append(" ".join(words[at : at + window]))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(some)], ["lang", "words"])
-
-    rows = known.mapInArrow(run, "lang string, words string").collect()
+            for part in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([" ".join(find(t.lower())) for t in part.column("text").to_pylist()])], ["lang", "words"])
+
+    rows = known.filter(wanted).mapInArrow(run, "lang string, words string").collect()
     return fit([(r.lang, r.words.split()) for r in rows])
 
 
@@ -334,4 +358,4 @@ def language_report(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
                     best = [model.langs[k] if s > 0 else "und" for k, s in zip(shares.argmax(1), score, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(best), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

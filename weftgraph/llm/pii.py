@@ -1,20 +1,23 @@
 """Personal data: fixed base patterns, and more spans by a semi-Markov conditional random field.
 
 Base spans (email, ip, card, phone) are the matches of fixed patterns that pass their checks. The field
-works on windows of tokens around every digit and at-sign of the whole text; outside them no segment can be
-an entity, because a candidate must hold such a sign or a spelt-out one. Within a window it scores candidate
-segments of up to ``LONGEST`` tokens by features of the whole span (its digits, separators, checksum, shape,
-what stands before it and at its edges) for each type, and the type of the segment before; a dynamic
-programme over bounded segments chooses boundaries and types together. Entities that overlap no base span
-are added to the base spans, which always stay. Types: those of the base, and ``secret`` (keys, tokens,
-passwords).
+works on windows of tokens around every digit, at-sign and word that announces a password; outside them no
+segment can be an entity, because a candidate must hold such a sign, a spelt-out one, or be announced. Windows
+end at white space, so no token is cut, however long. Within a window it scores candidate segments of up to
+``LONGEST`` tokens (a run of 40 or more key signs is one token) by features of the whole span (its digits,
+separators, checksum, shape, what stands before it and at its edges) for each type, and the type of the segment
+before; a dynamic programme over bounded segments chooses boundaries and types together. A long window is
+decoded in steps of ``STEP`` tokens that look ``2 * LONGEST`` tokens ahead. Entities that overlap no base span
+are added to the base spans, which always stay. Types: those of the base, ``secret`` (keys, tokens,
+passwords) and ``ssn`` (numbers of three, two and four digits).
 
 The field is trained here, by the likelihood of labelled windows that a seeded generator writes from rules:
 all types in plain, spaced and spelt-out forms among look-alikes (dates, versions, times, sums, long numbers
-that fail the checksum, hashes in file names). No text of the corpus is used.
+that fail the checksum, hashes in file names, words with numbers). No text of the corpus is used.
 
-Defined results: null counts as empty and gives no spans; positions are code points, ends exclusive;
-repeated rows are read each; an empty table gives an empty result; other columns are not read.
+Defined results: null counts as empty and gives no spans; positions are code points, ends exclusive; work is
+linear in a text's length, whatever its signs; of equal scores the candidate met first stays; repeated rows are
+read each; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,19 +29,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import named, text_slices
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 BASE_KINDS = KINDS[:4]
+SECRETS = KINDS.index("secret")
 LONGEST = 14
 REACH = 48
-#: Characters decoded at once, and those looked at beyond them.
-STEP = 4_000
-AHEAD = 400
+#: Tokens decoded at once.
+STEP = 1_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -86,8 +89,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-TOKEN = re.compile(r"[A-Za-z]+(?![A-Za-z0-9])|[A-Za-z0-9]+|[^\sA-Za-z0-9]|\n")
-ANCHOR = re.compile(r"[0-9@]\S*|[\[({<] ?(?:at|AT) ?[\])}>]|\b(?:at|AT)\b(?= [A-Za-z0-9-]+ (?:dot|DOT)\b)")
+TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{40,}|[A-Za-z]+(?![A-Za-z0-9])|[A-Za-z0-9]+|[^\sA-Za-z0-9]|\n")
+PASSWORD = r"(?i:password|passwd|pwd|passphrase|secret|token|key)"
+ANCHOR = re.compile(r"[0-9@]\S*|\b" + PASSWORD + r"""["']? ?[:=]|[\[({<] ?(?:at|AT) ?[\])}>]|\b(?:at|AT)\b(?= [A-Za-z0-9-]+ (?:dot|DOT)\b)""")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[({<] ?(?:at|AT) ?[\])}>] ?| (?:at|AT) | ?@ ?)[A-Za-z0-9-]+(?:(?: ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?| (?:dot|DOT) | ?\. ?)[A-Za-z0-9-]+)+")
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 QUAD = re.compile(r"[0-9]{1,3}(?: ?(?:\.|\[\.\]) ?[0-9]{1,3}){3}")
@@ -95,12 +99,16 @@ NUMBERS = re.compile(r"[0-9](?:[\x20.-]?[0-9])+")
 TELEPHONE = re.compile(r"(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}")
 DATE = re.compile(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?")
 SECRET = re.compile(r"[A-Za-z0-9_+/=-]{10,}")
+SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+ANNOUNCED = re.compile(PASSWORD + r"""["']? ?[:=] ?["']?\Z""")
+SPACES = re.compile(r"\s")
 CUES = (
     frozenset("email mail contact write reply address".split()),
     frozenset("ip host server address from node".split()),
     frozenset("card visa credit debit mastercard payment pan".split()),
     frozenset("phone tel telephone call mobile cell fax dial whatsapp".split()),
     frozenset("token secret key password passwd pwd apikey api auth bearer credential passphrase".split()),
+    frozenset("ssn social security".split()),
     frozenset("date version release order invoice page section isbn on total item ref file commit".split()),
 )
 
@@ -144,6 +152,8 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, cue:
         float("." in s),
         (j - i) / 8,
         float(before in "\"'" and before == after and before != ""),
+        float(SSN.fullmatch(s) is not None),
+        float(n == 0 and ANNOUNCED.search(text, max(0, a - 14), a) is not None),
         *(float(c in cue) for c in range(len(CUES))),
     ]
 
@@ -159,14 +169,19 @@ class Window:
 
 
 def window(text: str, a: int, b: int) -> Window:
+    return window_of(text, [m.span() for m in TOKEN.finditer(text, a, b)])
+
+
+def window_of(text: str, tokens: list[tuple[int, int]], before: list[tuple[int, int]] = ()) -> Window:
+    """From tokens, and the few before them, which may be cues."""
     import numpy as np
 
-    tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
     words = [text[p:q] for p, q in tokens]
     cues, recent = [], []
-    for k, w in enumerate(words):
-        cues.append([c for _, c in recent])
-        low = w.lower()
+    for k, w in enumerate([*(text[p:q] for p, q in before), *words], -len(before)):
+        if k >= 0:
+            cues.append([c for _, c in recent])
+        low = w.lower() if len(w) < 12 else ""
         recent = [(at, c) for at, c in recent if at > k - 4] + [(k, c) for c, names in enumerate(CUES) if low in names]
     sign = [w == "@" or any("0" <= c <= "9" for c in w) or w in ("at", "AT") for w in words]
     spans, x = [], []
@@ -174,21 +189,25 @@ def window(text: str, a: int, b: int) -> Window:
         if not (w[0].isalnum() or w in "+("):
             continue
         plain = w.isalpha()
-        held = False
+        joint = plain and i + 1 < len(words) and words[i + 1] in "-_+/" and tokens[i + 1][0] == tokens[i][1]
+        held = plain and len(w) >= 8 and 4 in cues[i] and ANNOUNCED.search(text, max(0, tokens[i][0] - 14), tokens[i][0]) is not None
+        announced = held
         for j in range(i + 1, min(i + LONGEST, len(words)) + 1):
             last = words[j - 1]
             if last == "\n":
                 break
             held = held or sign[j - 1]
             mail = plain and not any(v in ("@", "at", "AT") for v in words[i + 1 : j])
-            if not held or mail and (j > i + 1 or len(w) < 10) or not last[-1].isalnum():
+            if not held or not (last[-1].isalnum() or last[-1] == "=" and len(last) > 1):
+                continue
+            if mail and not (j == i + 1 and (announced or len(w) >= 10 and not plain) or joint and SECRET.fullmatch(text, tokens[i][0], tokens[j - 1][1])):
                 continue
             spans.append((i, j))
             x.append(span_features(text, tokens, i, j, cues[i]))
     return Window(text, tokens, spans, np.array(x).reshape(len(spans), N_FEATURES))
 
 
-N_FEATURES = 26 + len(CUES)
+N_FEATURES = 28 + len(CUES)
 
 
 @dataclass
@@ -298,18 +317,24 @@ def example(draw) -> tuple[str, list[tuple[int, int, int]]]:
         hexes = "".join(draw.choice(list("0123456789abcdef"), draw.integers(16, 41)))
         mixed = "".join(draw.choice(list("ABCDEFGHabcdefgh0123456789"), draw.integers(16, 33)))
         area, line = digits(3), (digits(3), digits(4))
+        named = pick(word(), f"{word()}.{word()}", f"{word()}_{digits(2)}", f"{word()}-{word()}")
+        groups = "-".join("".join(draw.choice(list("0123456789abcdef"), n)) for n in (8, 4, 4, 4, 11)) + digits(1)
+        if kind == 4 and draw.random() < 0.2:
+            return pick("password = ", "passwd: ", "pwd=", 'password: "', "passphrase = '"), word() + word() + "word"
         return [
-            (pick("", "mail ", "contact "), pick(f"{user}@{host[0]}.{host[1]}", f"{word()} at {host[0]} dot {pick('com', 'org')}", f"{word()} [at] {host[0]} [dot] com", f"{word()}(at){host[0]}(dot)org")),
+            (pick("", "mail ", "contact "), pick(f"{user}@{host[0]}.{host[1]}", f"{named} at {host[0]} dot {pick('com', 'org')}", f"{named} [at] {host[0]} [dot] com", f"{named}(at){host[0]}(dot)org")),
             (pick("", "from ", "server "), pick(".".join(octets), "[.]".join(octets))),
             (pick("", "card ", "visa "), card(True)),
             (pick("", "call ", "phone: "), pick(f"+1 ({area}) {line[0]}-{line[1]}", f"({area}) {line[0]}-{line[1]}", f"+{digits(2)} {area} {line[0]} {line[1]}", f"{area}-{line[0]}-{line[1]}")),
-            (pick("token = ", "password=", "api key: ", "secret "), pick(hexes + "7f", mixed + "a1", f'"{hexes}4e"')),
+            (pick("token = ", "password=", "api key: ", "secret ", "key "), pick(hexes + "7f", mixed + "a1", f'"{hexes}4e"', f"{pick('sk', 'pk', 'key')}-{mixed}7a", f"{pick('ghp', 'tok')}_{mixed}9b", groups)),
+            (pick("", "ssn ", "social security "), f"{digits(3)}-{digits(2)}-{digits(4)}"),
         ][kind]
 
     def decoy() -> str:
         return pick(
             card(False), f"{draw.integers(1900, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}", f"{digits(2)}:{digits(2)}", f"version {digits(1)}.{digits(1)}.{digits(2)}",
             f"order {digits(8)}", f"{digits(3)}.{digits(2)}", f"${digits(4)}", f"{draw.integers(256, 999)}.{digits(2)}.{digits(3)}.{digits(2)}", f"@ {word()}", f"at {word()}", f"{digits(2)}", f"commit {word()}{digits(1)}", digits(20), f"page {digits(3)}",
+            f"{word()}-{digits(2)}", f"{word()}-{word()}-{digits(1)}", f"{pick('key', 'token', 'secret', 'password')} {word()}{word()}", f"{word()}{digits(2)}",
         )
 
     text, spans = "", []
@@ -328,7 +353,7 @@ def example(draw) -> tuple[str, list[tuple[int, int, int]]]:
     return text, spans
 
 
-def train(examples: int = 320, epochs: int = 12, seed: int = 5, rate: float = 0.5, ridge: float = 0.002) -> Field:
+def train(examples: int = 480, epochs: int = 12, seed: int = 5, rate: float = 0.5, ridge: float = 0.002) -> Field:
     """Adagrad on the log-likelihood of generated windows."""
     import numpy as np
 
@@ -360,15 +385,19 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches around all anchors, cut at white space; near ones are one."""
     a = b = -1
     for m in ANCHOR.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if b >= lo:
-            b = hi
+        if m.end() + REACH <= b:
+            continue
+        low = max(0, m.start() - REACH)
+        if low > b:  # back to where the token at the edge begins, but not into the stretch before
+            low = max(b, 0, *(text.rfind(x, max(b, 0), low) + 1 for x in " \n\t\r"))
+        high = SPACES.search(text, min(len(text), m.end() + REACH))
+        high = high.start() if high else len(text)
+        if b >= low and a >= 0:
+            b = high
             continue
         if b >= 0:
             yield a, b
-        a, b = lo, hi
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 2 * REACH:
-            a -= 1
+        a, b = low, high
     if b >= 0:
         yield a, b
 
@@ -390,16 +419,24 @@ def overlaps(spans: list[tuple[int, int, int]], start: int, end: int, kinds: int
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base spans, and of base and added ones together."""
+    from itertools import islice
+
     base = base_spans(text)
     added, kinds = [], len({y for _, y, _ in base})
     for a, b in windows(text):
-        while a < b:  # a long stretch is decoded in steps that look ahead
-            end = min(b, a + STEP)
-            found = [x for x in field.decode(window(text, a, min(b, end + AHEAD))) if x[0] < end]
-            for s, y, e in found:
-                if not overlaps(base, s, e, kinds):
-                    added.append((s, y, e))
-            a = max(end, found[-1][2] if found else 0)
+        rest = (m.span() for m in TOKEN.finditer(text, a, b))
+        tokens, before = list(islice(rest, STEP + 2 * LONGEST)), []
+        while tokens:  # a long stretch is decoded in steps that look ahead
+            done = len(tokens) if len(tokens) <= STEP else STEP
+            end = tokens[done - 1][1]
+            for s, y, e in field.decode(window_of(text, tokens, before)):
+                if s < end:
+                    if not overlaps(base, s, e, kinds):
+                        added.append((s, y, e))
+                    while done < len(tokens) and tokens[done][0] < e:
+                        done += 1
+            before = tokens[max(0, done - 4) : done]
+            tokens = tokens[done:] + list(islice(rest, done))
     return base, sorted(base + added)
 
 
@@ -408,7 +445,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def span_report(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans (all), n_secret for every row."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -419,8 +456,9 @@ def span_report(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
             for part in text_slices(batch, "text"):
                 found = [all_spans(t or "", field) for t in part.column("text").to_pylist()]
                 counts = [pa.array([sum(y == k for _, y, _ in base) for base, _ in found], pa.int64()) for k in range(len(BASE_KINDS))]
+                more = [pa.array([len(x) for _, x in found], pa.int64()), pa.array([sum(y == SECRETS for _, y, _ in x) for _, x in found], pa.int64())]
                 digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, digest, pa.array([joined(x) for _, x in found])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, digest, pa.array([joined(x) for _, x in found]), *more], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_secret"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_secret long")

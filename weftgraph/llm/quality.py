@@ -12,8 +12,9 @@ Features come from the whole text alone. The model is fitted on at most about ``
 
 Defined results: null counts as empty, which has a score like any text; a document without a label, or
 with a null one, teaches nothing; several labels of one doc_id count by their mean; without both classes
-every score is the share of label 1 (0.5 if there are no labels); repeated rows are scored each; an empty
-table gives an empty result; other columns are not read.
+every score is the share of label 1 (0.5 if there are no labels); repeated rows are scored each and ties in score
+stay ties; a very long text is scored whole; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_slices
+from .common import fold, named, sampled, text_slices
 
 SAMPLE = 20_000
 PAIRS = 200_000
@@ -127,18 +128,19 @@ def fit(rows, labels, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) ->
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Ranker:
     """Fit on a hash sample of the labelled rows that are not held out."""
-    known = labels.filter(F.col(label_col).isNotNull() & (fold(F.col(id_col), 4) != 2)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
+    known = labels.filter(named(label_col).isNotNull() & (fold(named(id_col), 4) != 2)).select(named(id_col).alias("__id"), named(label_col).alias("__label"))
     share = min(1.0, sample / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("__id").agg((F.avg("__label") >= 0.5).cast("int").alias("__label"))
+    known = known.filter(sampled(F.col("__id"), share, 11)).groupBy("__id").agg((F.avg("__label") >= 0.5).cast("int").alias("__label"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__label"), pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
+            for part in text_slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__label"), pa.array([features(t) for t in part.column("text").to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
 
     # The sample is bounded by its parameter, so it may be broadcast.
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    picked = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     rows = sorted((r.id, r.label, r.x) for r in picked.select("__id", "__label", "text").mapInArrow(run, "id long, label int, x array<double>").collect())
     return fit([x for _, _, x in rows], [y for _, y, _ in rows])
 
@@ -165,13 +167,14 @@ def score_report(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_co
         for part, scores in scored(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), scores], ["doc_id", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
     """The rows of docs that are predicted good, all columns."""
-    scored = _scored(model, text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold any signs
+    scored = _scored(model, f"c{docs.columns.index(text_col)}")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow.compute as pc
@@ -179,4 +182,4 @@ def keep_good(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFra
         for part, scores in scored(batches):
             yield part.filter(pc.greater_equal(scores, CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
