@@ -101,4 +101,8 @@ def test_reports(spark, tmp_path):
         writers.write_report(report, str(tmp_path / "runs" / str(i)))
     rows = writers.collate_reports(spark, str(tmp_path / "runs")).collect()
     assert len(rows) == 2 and {x.real_edges for x in rows} == {"30"} and {x.algorithm for x in rows} == {"uniform"}
-    assert writers.timing_row(r.facts).count(";") == len(writers.SUMMARY) - 1
+    assert len(rows[0]) == 27 and writers.timing_row(r.facts).count(";") == 22
+    told = report.collect()
+    assert [x.line for x in told] == list(range(87)) and [x.line for x in told if not x.metric] == [17, 57, 66, 72]
+    kept = {x.metric: x.value for x in told}
+    assert int(kept["TOTAL MESSAGES"]) == sum(int(kept[m]) for m in ("INITIAL MESSAGES", "SAMPLING MESSAGES", "LP MESSAGES", "SHUTDOWN MESSAGES"))

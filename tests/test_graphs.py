@@ -146,6 +146,6 @@ def test_repartition(spark):
 @pytest.mark.parametrize("kind", ["rd", "hd", "cc", "gd"])
 def test_sampling_reaches_its_size(spark, kind):
     sym = symmetrize(two_cliques(spark, 30))
-    labels, ok = sample_labels(sym, Sampling(kind, beta=0.3, sigma=0.1), 3)
+    labels, ok, _ = sample_labels(sym, Sampling(kind, beta=0.3, sigma=0.1), 3)
     named = labels.filter("part IS NOT NULL").collect()
     assert ok and len(named) >= 18 and {r.part for r in named} == {0, 1, 2}

@@ -5,9 +5,12 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.oracles import SQL
+from weftgraph.format_queries import SQL as FORMATS
+from weftgraph.oracles import SQL as GRAPHS
 from weftgraph.queries import QUERIES
 
+SQL = {**GRAPHS, **FORMATS}
+
 
 def plain(v):
     if isinstance(v, float):

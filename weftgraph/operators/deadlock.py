@@ -9,7 +9,7 @@ from ..graph import vertices
 from ..plans.bsp import cut
 
 
-def deadlock(edges: DataFrame, initiator: int, limit: int = 10_000) -> DataFrame:
+def deadlock(edges: DataFrame, initiator: int) -> DataFrame:
     """id, notified, free for every vertex of edges(src, dst, tag).
 
     Vertices the initiator reaches are notified. A notified vertex is free if it waits for nothing, or if for
@@ -17,7 +17,7 @@ def deadlock(edges: DataFrame, initiator: int, limit: int = 10_000) -> DataFrame
     deadlocked if it is not free."""
     e = cut(edges.select("src", "dst", "tag").distinct(), "dl-edges")
     reached = cut(vertices(edges).select("id", (F.col("id") == initiator).alias("notified"), (F.col("id") == initiator).alias("active")), "dl")
-    for _ in range(limit):
+    while True:
         told = e.join(reached.filter("active").select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().withColumn("told", F.lit(True))
         reached = cut(reached.join(told, "id", "left").select("id", (F.col("notified") | F.coalesce("told", F.lit(False))).alias("notified"), (~F.col("notified") & F.coalesce("told", F.lit(False))).alias("active")), "dl")
         if reached.filter("active").isEmpty():
@@ -27,7 +27,7 @@ def deadlock(edges: DataFrame, initiator: int, limit: int = 10_000) -> DataFrame
     waits = cut(waits, "dl-waits")
     first = reached.filter("notified").select("id").join(need.select(F.col("src").alias("id")), "id", "left_anti")
     free = cut(first, "dl-free")
-    for _ in range(limit):
+    while True:
         got = waits.join(free.select(F.col("id").alias("dst")), "dst").groupBy("src", "tag").agg(F.count(F.lit(1)).alias("got"))
         more = got.join(need, ["src", "tag"]).filter("got = need").select(F.col("src").alias("id")).distinct().join(free, "id", "left_anti")
         more = cut(more, "dl-more")

@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import degrees, symmetrize, vertices
-from ..plans.bsp import cut
+from ..graph import both_ways, degrees, vertices
+from ..plans.bsp import cut, discard
 
 UNREACHED = 1.7976931348623157e308
 
 
-def shortest_paths(edges: DataFrame, source: int, weight: str | None = None, limit: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: int, weight: str | None = None) -> DataFrame:
     """id, distance from source; UNREACHED where there is no path. Only vertices that improved send on."""
     e = cut(edges.select("src", "dst", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")), "sp-edges")
     state = cut(vertices(edges).select("id", F.when(F.col("id") == source, 0.0).otherwise(UNREACHED).alias("distance"), (F.col("id") == source).alias("active")), "sp")
-    for _ in range(limit):
+    while True:
         sent = e.join(state.filter("active").select(F.col("id").alias("src"), "distance"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("offer"))
         new = state.join(sent, "id", "left").select("id", F.least("distance", F.coalesce("offer", "distance")).alias("distance"), (F.coalesce("offer", "distance") < F.col("distance")).alias("active"))
-        state = cut(new, "sp")
+        state, old = cut(new, "sp"), state
+        discard(old)
         if state.filter("active").isEmpty():
             break
     return state.select("id", "distance")
 
 
-def max_propagation(edges: DataFrame, limit: int = 10_000) -> DataFrame:
+def max_propagation(edges: DataFrame) -> DataFrame:
     """id, value: the largest out-degree among the vertices from which this one can be reached, itself included."""
     e = cut(edges.select("src", "dst"), "mp-edges")
-    state = cut(degrees(symmetrize(edges)).select("id", F.col("out_deg").alias("value"), F.lit(True).alias("active")), "mp")
-    for _ in range(limit):
+    state = cut(degrees(both_ways(edges)).select("id", F.col("out_deg").alias("value"), F.lit(True).alias("active")), "mp")
+    while True:
         sent = e.join(state.filter("active").select(F.col("id").alias("src"), "value"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("value").alias("offer"))
+        old = state
         state = cut(state.join(sent, "id", "left").select("id", F.greatest("value", F.coalesce("offer", "value")).alias("value"), (F.coalesce("offer", "value") > F.col("value")).alias("active")), "mp")
+        discard(old)
         if state.filter("active").isEmpty():
             break
     return state.select("id", "value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import vertices
-from ..plans.bsp import cut
+from ..plans.bsp import cut, discard
 
 
 def _spread(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def pagerank(edges: DataFrame, steps: int = 30, damping: float = 0.85, initial:
     ranks = ids.withColumn("rank", F.lit(1.0)) if initial is None else initial
     for _ in range(steps):
         got = e.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
+        old = ranks
         ranks = cut(ids.join(got, "id", "left").select("id", (F.lit(1 - damping) / n + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")), "pr")
+        discard(old)
     return ranks
 
 
@@ -58,7 +60,9 @@ def random_walk(edges: DataFrame, steps: int = 30, restart: float = 0.15, tolera
         new = new.withColumn("rank", (F.lit(1 - restart) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)) + bias) / F.lit(total))
         new = cut(new.select(*ids.columns, "old", "rank"), "rw")
         total, change = new.agg(F.sum("rank"), F.sum(F.abs(F.col("rank") - F.col("old")))).first()
+        discard(state)
         state, done = new.drop("old"), done + 1
+        state._scratch_path = new._scratch_path
         if done > 1 and change < tolerance:
             break
     return state.select("id", "rank"), done

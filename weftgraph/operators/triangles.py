@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from ..graph import degrees
 
 
+#: Neighbours of one vertex whose pairs one task looks at; those of a hub are dealt to more.
+PART = 2_000
+
+
 def triangle_closing(edges: DataFrame, exclude_existing: bool = False, least: int = 2) -> DataFrame:
-    """id, candidate, common, rank: vertices that at least so many in-neighbours of id point to, most common first."""
-    two = edges.select(F.col("src").alias("via"), F.col("dst").alias("id")).join(edges.select(F.col("src").alias("via"), F.col("dst").alias("candidate")), "via").filter("id <> candidate")
-    counts = two.groupBy("id", "candidate").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= least)
+    """id, candidate, common, rank: vertices that at least so many in-neighbours of id point to, most common first.
+
+    Each pair of neighbours is looked at once, from its smaller end, and counts for both. A hub's pairs are dealt over
+    tasks by the smaller end, ``PART`` of them each, and combined there before they are shuffled."""
+    parts = edges.groupBy(F.col("src").alias("via")).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    known = edges.select(F.col("src").alias("via"), "dst").join(parts, "via")
+    one = known.select("via", F.col("dst").alias("a"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("salt"))
+    two = known.select("via", F.col("dst").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    pairs = one.join(two, ["via", "salt"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= least)
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("candidate")), F.struct(F.col("b").alias("id"), F.col("a").alias("candidate")))
+    counts = pairs.select(F.explode(ends).alias("x"), "common").select("x.id", "x.candidate", "common")
     if exclude_existing:
         counts = counts.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("candidate")), ["id", "candidate"], "left_anti")
     order = Window.partitionBy("id").orderBy(F.desc("common"), "candidate")

@@ -95,24 +95,28 @@ CLUSTER = """q AS (SELECT a.src AS id, count(*) AS links FROM s a JOIN s b ON b.
 BUCKET = "floor(links * 1000 / greatest(degree * (degree - 1), 1))::INT"
 
 
-def pagerank(steps: int) -> str:
-    parts = [SUPPLY, VERTS, "o AS (SELECT src, count(*) AS n FROM e GROUP BY src)", "r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)"]
+def held(table: str) -> str:
+    """A graph or vertex table that is computed once, however often it is read."""
+    return table.replace(" AS (", " AS MATERIALIZED (", 1)
+
+
+def pagerank(steps: int = 30) -> str:
+    parts = [held(SUPPLY), held(VERTS), "o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src)", "r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)"]
     for i in range(1, steps + 1):
-        parts.append(f"r{i} AS (SELECT v.id, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * coalesce(sum(r.rank / o.n), 0) AS rank FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN r{i - 1} r ON r.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.id)")
+        parts.append(f"r{i} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE / (SELECT count(*) FROM v) + 0.85::DOUBLE * coalesce(sum(r.rank / o.n), 0) AS rank FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN r{i - 1} r ON r.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.id)")
     return f"WITH {', '.join(parts)} SELECT id, round(rank, 9) AS rank FROM r{steps}"
 
 
-def walk(graph: str, steps: int, bias: str) -> str:
-    parts = [graph, VERTS, "o AS (SELECT src, count(*) AS n FROM e GROUP BY src)", "r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
+def walk(graph: str, bias: str, steps: int = 30) -> str:
+    """Steps up to the first, from the second on, that changes less than 1e-5 in all."""
+    parts = [held(graph), held(VERTS), "o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
     for i in range(1, steps + 1):
         mass = "1.0::DOUBLE" if i == 1 else f"(SELECT sum(rank) FROM r{i - 1})"
         lost = f"coalesce((SELECT sum(rank) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM o)), 0)"
-        parts.append(f"r{i} AS (SELECT v.id, (0.85::DOUBLE * (coalesce(sum(r.rank / o.n), 0) + {lost} / (SELECT count(*) FROM v)) + {bias}) / {mass} AS rank FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN r{i - 1} r ON r.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.id)")
-    return f"WITH {', '.join(parts)} SELECT id, round(rank, 9) AS rank FROM r{steps}"
-
-
-def shares(*names: str) -> str:
-    return ", ".join(names)
+        parts.append(f"r{i} AS MATERIALIZED (SELECT v.id, (0.85::DOUBLE * (coalesce(sum(r.rank / o.n), 0) + {lost} / (SELECT count(*) FROM v)) + {bias}) / {mass} AS rank FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN r{i - 1} r ON r.id = e.src LEFT JOIN o ON o.src = e.src GROUP BY v.id)")
+    changes = " UNION ALL ".join(f"SELECT {i} AS step, sum(abs(a.rank - b.rank)) AS change FROM r{i} a JOIN r{i - 1} b ON a.id = b.id" for i in range(2, steps + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS step, * FROM r{i}" for i in range(2, steps + 1))
+    return f"WITH {', '.join(parts)}, h AS (SELECT coalesce(min(step), {steps}) AS last FROM ({changes}) WHERE change < 0.00001) SELECT id, round(rank, 9) AS rank FROM ({every}) JOIN h ON step = last"
 
 
 COMPONENTS = f"""b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
@@ -120,6 +124,141 @@ COMPONENTS = f"""b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
   SELECT id, min(label) AS component FROM c GROUP BY id"""
 DIVERGE = "ln(q / ((q + u) / 2))"
 
+def cycles(kind: str, n: int, init: str, k: int = K, weight: int = 1, directed: bool = True, first: bool = True, settle: bool = False) -> str:
+    """Labels after n cycles of label propagation; init gives l0(id, part), first labels what has none.
+
+    With settle the labels of the first cycle, of n at most, in which nothing moves or whose score is within a
+    thousandth of the best of the three before."""
+    unit, whole = UNIT[kind]
+    whole = "m" if kind == "edge" and not directed else whole
+    real = "NOT is_virtual" if directed else "true"
+    parts = [held(x) for x in (SUPPLY, SYM, DEG, TOTALS, init)]
+    worth = f"CASE WHEN is_virtual THEN 1 ELSE {weight} END"
+    cap = f"floor((SELECT {whole} FROM t) * 1.05::DOUBLE / {k} + 0.5)::BIGINT"
+
+    def choose(i: int, labelled_only: bool) -> None:
+        share = "CASE WHEN labelled > 0 THEN f::DOUBLE / labelled ELSE 0 END"
+        if kind == "vertex":
+            h = f"1.0::DOUBLE + {share} + (0.5::DOUBLE * CASE WHEN rt > 0 THEN r::DOUBLE / rt ELSE 0 END - 0.5::DOUBLE * {ceil3('load', '(SELECT n FROM t)')})"
+        else:
+            h = f"1.0::DOUBLE + {share} - {ceil3('load', cap)}"
+        draw = u(1, i, "tie", "h.id", "h.label")
+        parts.extend((
+            f"c{i} AS MATERIALIZED (SELECT s.src AS id, i.label::INT AS label, coalesce(sum({worth}) FILTER (b.part = i.label), 0)::BIGINT AS f, count(*) FILTER (b.part = i.label AND {real}) AS r, coalesce(sum({worth}) FILTER (b.part IS NOT NULL), 0)::BIGINT AS labelled, count(*) FILTER ({real}) AS rt FROM s JOIN l{i} b ON b.id = s.dst CROSS JOIN range({k}) i(label) GROUP BY s.src, i.label)",
+            f"lo{i} AS MATERIALIZED (SELECT i.label, coalesce(sum({unit}) FILTER (l.id IS NOT NULL), 0)::BIGINT AS load FROM range({k}) i(label) LEFT JOIN l{i} l ON l.part = i.label LEFT JOIN g ON g.id = l.id GROUP BY i.label)",
+            f"h{i} AS MATERIALIZED (SELECT c.id, c.label, c.f, round({h}, 12) AS h FROM c{i} c JOIN lo{i} lo ON lo.label = c.label)",
+            f"""x{i} AS MATERIALIZED (SELECT l.id, l.part AS cur, q.label AS nxt FROM l{i} l LEFT JOIN (SELECT h.id, h.label, row_number() OVER (PARTITION BY h.id ORDER BY h.h DESC, coalesce(l.part = h.label, false) DESC, {draw} DESC, h.label) AS o
+                FROM h{i} h JOIN l{i} l ON l.id = h.id {"WHERE h.f > 0" if labelled_only else ""}) q ON q.id = l.id AND o = 1)""",
+        ))
+
+    if first:
+        choose(0, True)
+        parts.append(f"l1 AS MATERIALIZED (SELECT id, coalesce(nxt, cur, floor({u(1, 0, 'left', 'id')} * {k})::INT) AS part, true AS moved FROM x0)")
+    else:
+        parts.append("l1 AS MATERIALIZED (SELECT id, part, true AS moved FROM l0)")
+    for i in range(1, n + 1):
+        choose(i, False)
+        heard = "true" if i == 1 else f"id IN (SELECT src FROM s JOIN l{i} b ON b.id = s.dst WHERE moved)"
+        parts.extend((
+            f"a{i} AS MATERIALIZED (SELECT *, nxt <> cur AND {heard} AS asks FROM x{i})",
+            f"d{i} AS MATERIALIZED (SELECT nxt AS label, sum({unit})::BIGINT AS demand FROM a{i} JOIN g USING (id) WHERE asks GROUP BY nxt)",
+            f"p{i} AS MATERIALIZED (SELECT lo.label, CASE WHEN coalesce(demand, 0) = 0 OR load >= {cap} THEN 0 ELSE least(1.0::DOUBLE, ({cap} - load)::DOUBLE / demand) END AS p FROM lo{i} lo LEFT JOIN d{i} USING (label))",
+            f"l{i + 1} AS MATERIALIZED (SELECT a.id, CASE WHEN asks AND {u(1, i, 'admit', 'a.id')} < p THEN nxt ELSE cur END AS part, asks AND {u(1, i, 'admit', 'a.id')} < p AS moved FROM a{i} a JOIN p{i} p ON p.label = a.nxt)",
+        ))
+    if not settle:
+        return f"WITH {', '.join(parts)} SELECT id, part FROM l{n + 1}"
+    parts += [f"z{i} AS MATERIALIZED (SELECT {i} AS step, (SELECT count(*) FROM l{i + 1} WHERE moved) AS n, (SELECT sum(h) FROM h{i} h JOIN l{i} l ON l.id = h.id AND l.part = h.label) AS score)" for i in range(1, n + 1)]
+    every = " UNION ALL ".join(f"SELECT * FROM z{i}" for i in range(1, n + 1))
+    best = "max(score) OVER (ORDER BY step ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+    parts.append(f"y AS (SELECT step, n, score, {best} AS best FROM ({every})), last AS (SELECT coalesce(min(step), {n}) AS last FROM y WHERE n = 0 OR step > 3 AND best > 0 AND abs(1 - score / best) < 0.001)")
+    labels = " UNION ALL ".join(f"SELECT {i} AS step, id, part FROM l{i + 1}" for i in range(1, n + 1))
+    return f"WITH {', '.join(parts)} SELECT id, part FROM ({labels}) JOIN last ON step = last"
+
+
+HUB0 = HUB.replace("l AS", "l0 AS", 1)
+UNIFORM0 = f"l0 AS (SELECT id, floor({u(1, 0, 'init', 'id')} * {K})::INT AS part FROM g)"
+GROW0 = f"l0 AS (SELECT id, CASE WHEN {u(1, 0, 'move', 'id')} < 2 / 6.0::DOUBLE THEN 4 + floor({u(1, 0, 'to', 'id')} * 2)::INT ELSE (id % {K})::INT END AS part FROM g)"
+
+
+def samples(kind: str, n: int = 6, beta: float = 0.15, sigma: float = 0.05, tau: int = 3) -> str:
+    """(id, cycle) after at most n cycles of a sampler."""
+    seeds = {
+        "rd": f"SELECT id FROM g WHERE {u(1, 0, 'seed', 'id')} < {sigma}::DOUBLE",
+        "hd": f"SELECT y.id FROM g y JOIN cu USING (deg) WHERE before < wanted AND {u(1, 0, 'seed', 'y.id')} < least(1.0::DOUBLE, (wanted - before)::DOUBLE / n)",
+        "cc": f"SELECT y.id FROM bu y JOIN cu USING (bucket) WHERE before < wanted AND {u(1, 0, 'seed', 'y.id')} < least(1.0::DOUBLE, (wanted - before)::DOUBLE / n)",
+        "gd": f"SELECT id FROM g JOIN pr ON pr.degree = g.deg WHERE {u(1, 0, 'seed', 'id')} < p * {sigma}::DOUBLE * v / (SELECT sum(n * p) FROM pr)",
+    }[kind]
+    parts = [held(x) for x in (FLOW, SYM, DEG)]
+    if kind == "cc":
+        q, cc = CLUSTER.split(",\n  cc AS")
+        parts += [held(q), f"cc AS MATERIALIZED{cc}", f"bu AS MATERIALIZED (SELECT id, {BUCKET} AS bucket FROM cc)"]
+    if kind in ("hd", "cc"):
+        of, value = ("g", "deg") if kind == "hd" else ("bu", "bucket")
+        parts.append(f"hi AS (SELECT {value}, count(*) AS n FROM {of} GROUP BY {value})")
+        parts.append(f"cu AS MATERIALIZED (SELECT {value}, n, coalesce(sum(n) OVER (ORDER BY {value} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT floor(count(*) * {sigma}::DOUBLE)::BIGINT + 1 FROM {of}) AS wanted FROM hi)")
+    if kind == "gd":
+        parts.append("f AS (SELECT deg AS degree, count(*) AS n FROM g GROUP BY deg), z AS (SELECT sum(n)::DOUBLE AS v FROM f), pr AS MATERIALIZED (SELECT degree, n, n / v AS p, v FROM f, z)")
+    parts += [f"w AS MATERIALIZED (SELECT greatest({K}, floor(count(*) * {beta}::DOUBLE)::BIGINT + 1) AS target FROM g)", f"t0 AS MATERIALIZED (SELECT id, 0 AS cycle FROM ({seeds}))", "a0 AS MATERIALIZED (SELECT id FROM t0)"]
+    for i in range(1, n + 1):
+        asked = f"SELECT s.src AS asker, s.dst AS id, g.deg FROM s JOIN a{i - 1} a ON a.id = s.src JOIN g ON g.id = s.dst WHERE s.dst NOT IN (SELECT id FROM t{i - 1})"
+        if kind == "gd":
+            told = f"SELECT q.asker, q.id FROM ({asked}) q JOIN pr ON pr.degree = q.deg WHERE {u(1, i, 'spread', 'q.asker', 'q.id')} < p + (1 - (SELECT max(p) FROM pr)) / 2"
+        else:
+            told = f"SELECT asker, id FROM (SELECT *, row_number() OVER (PARTITION BY asker ORDER BY deg DESC, id) AS r FROM ({asked})) WHERE r <= {tau}"
+        parts += [
+            f"n{i} AS MATERIALIZED (SELECT id, count(*) AS n FROM ({told}) GROUP BY id)",
+            f"j{i} AS MATERIALIZED (SELECT id, {i} AS cycle FROM n{i} WHERE (SELECT count(*) FROM t{i - 1}) < (SELECT target FROM w) AND {u(1, i, 'join', 'id')} < least(1.0::DOUBLE, ((SELECT target FROM w) - (SELECT count(*) FROM t{i - 1}))::DOUBLE / (SELECT sum(n) FROM n{i})))",
+            f"t{i} AS MATERIALIZED (SELECT * FROM t{i - 1} UNION ALL SELECT * FROM j{i})",
+            f"a{i} AS MATERIALIZED (SELECT id FROM t{i} WHERE cycle = {i} OR NOT EXISTS (SELECT 1 FROM j{i}))",
+        ]
+    return f"WITH {', '.join(parts)} SELECT id, cycle FROM t{n}"
+
+
+def report(facts: dict[str, str]) -> str:
+    """The 87 lines of a run report on the supply graph under the labels id mod K."""
+    three, six, long = (lambda x: f"printf('%.3f', ({x})::DOUBLE)"), (lambda x: f"printf('%.6f', ({x})::DOUBLE)"), (lambda x: f"printf('%.8f', ({x})::DOUBLE)")
+    js = lambda m: f"(SELECT sum(CASE WHEN q > 0 THEN q * {DIVERGE} ELSE 0 END + u * ln(u / ((q + u) / 2))) / (2 * ln(2)) FROM m WHERE measure = '{m}')"
+    kl = lambda m: f"(SELECT CASE WHEN min(q) <= 0 THEN -1 ELSE sum(q * ln(q / u)) / ln({K}) END FROM m WHERE measure = '{m}')"
+    ka = lambda m: f"(SELECT CASE WHEN min(q) <= 0 THEN -1 ELSE abs(sum(q * ln(q / u))) END FROM m WHERE measure = '{m}')"
+    joined = lambda c: f"(SELECT string_agg({c} || '_', '' ORDER BY part) FROM a)"
+    of = lambda x: f"(SELECT {x} FROM a)"
+    rows = [("JOB ID", None), ("JOB NAME", None), ("WORKERS", None), ("ALGORITHM", None), ("GRAPH", None), ("VERTICES", of("sum(vertices)::BIGINT")), ("REAL EDGES", of("sum(real_load)::BIGINT")), ("VIRTUAL EDGES", of("sum(sym_load)::BIGINT")), ("PARITIONS", str(K)),
+        ("REAL LOADS", joined("real_load")), ("VIRTUAL LOADS", joined("sym_load")), ("VIRTUAL COUNTS", joined("vertices")), ("REAL KLU", long(kl("real_load"))), ("VIRTUAL KLU", long(kl("sym_load"))), ("VIRTUAL COUNT KLU", long(kl("vertices"))), ("REAL AVGD KLU", long(ka("avg_real"))), ("VIRTUAL AVGD KLU", long(ka("avg_sym"))), ("", None)]
+    for kind, gap, jsd, load, avg, lo, cv in (("REAL", "", "EB", "real_load", "avg_real", "lr", "cr"), ("VIRTUAL", " ", "ED", "sym_load", "avg_sym", "ls", "cs")):
+        norm = lambda c: of(f"max({c}) * {K} / sum({c})::DOUBLE")
+        rows += [(f"{kind} E MAXNORM{gap}LOAD", three(norm(load))), (f"{kind} E MAXMIN{gap}LOAD", three(of(f"max({load}) / min({load})"))), (f"{kind} {jsd} JSD", six(js(load))), (f"{kind} E KLU", six(kl(load))),
+            (f"{kind} V MAXNORM{gap}LOAD", three(norm("vertices"))), (f"{kind} V MAXMIN{gap}LOAD", three(of("max(vertices) / min(vertices)"))), (f"{kind} VB JSD", six(js("vertices"))), (f"{kind} V KLU", six(kl("vertices"))),
+            (f"{kind} AVGD MAXNORM", three(of(f"max({avg}) / (sum({load})::DOUBLE / sum(vertices)::DOUBLE)"))), (f"{kind} AVGD MAXMIN", three(of(f"max({avg}) / min({avg})"))), (f"{kind} AVGDB JSD", six(js(avg))), (f"{kind} AVGD KLU", six(ka(avg))),
+            (f"{kind} EC PCT", three(of(f"(sum({load}) - sum({lo})) / sum({load})::DOUBLE"))), (f"{kind} COMMVOL PCT", three(of(f"sum({cv})::DOUBLE / sum({cv}m)"))), (f"{kind} LOCE PCT", three(of(f"sum({lo}) / sum({load})::DOUBLE"))),
+            (f"{kind} EC", of(f"(sum({load}) - sum({lo}))::BIGINT")), (f"{kind} COMMVOL", of(f"sum({cv})::BIGINT")), (f"{kind} LOCE", of(f"sum({lo})::BIGINT")), (f"{kind} COMMVOL NORMF", of(f"sum({cv}m)::BIGINT"))]
+        rows += [("REAL SCORE", None)] if kind == "REAL" else []
+    run = "|SAMPLING START|SAMPLING END|SAMPLING CYCLES|SAMPLING EXTRA|LP START|LP END|LP CYCLES|TOT MIGRATIONS||INITIAL MESSAGES|SAMPLING MESSAGES|LP MESSAGES|SHUTDOWN MESSAGES|TOTAL MESSAGES||INPUT TIME (not included in total)|INITIALIZE TIME|SETUP TIME|Initializing algorithm time|LP time|Avg. LP cycle time|Sampling time|Avg. Sampling cycle time|TOTAL TIME|OUT DEGREE THRESHOLD|BETA|SIGMA|TAU|SAMPLING_ERROR"
+    rows += [(name, None) for name in run.split("|")]
+    told = lambda name, x: f"({x})::VARCHAR" if x else "NULL" if not name else f"'{facts.get(name, '')}'"
+    return f"WITH {QUALITY}, {MEASURES} " + " UNION ALL ".join(f"SELECT {i}::INT AS line, '{name}' AS metric, {told(name, x)} AS value" for i, (name, x) in enumerate(rows))
+
+
+DEADLOCK = """n AS MATERIALIZED (SELECT (n_nationkey + 100)::BIGINT AS id, n_regionkey::BIGINT AS region FROM nation),
+  w AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT src, dst, src % 3 AS tag FROM e UNION ALL SELECT region, id, 0 FROM n WHERE region < 2 AND id % 2 = 0 UNION ALL SELECT 99, id, id % 3 FROM n)),
+  v AS MATERIALIZED (SELECT src AS id FROM w UNION SELECT dst FROM w),
+  r AS (SELECT 99::BIGINT AS id UNION SELECT w.dst FROM r JOIN w ON w.src = r.id),
+  f0 AS MATERIALIZED (SELECT id FROM r WHERE id NOT IN (SELECT src FROM w))"""
+
+
+def deadlock(rounds: int = 6) -> str:
+    """What is free after so many rounds of grants; waits here are four deep."""
+    parts = [f"f{i} AS MATERIALIZED (SELECT id FROM f{i - 1} UNION SELECT src FROM (SELECT src, tag FROM w WHERE src IN (SELECT id FROM r) GROUP BY src, tag HAVING count(*) = count(*) FILTER (dst IN (SELECT id FROM f{i - 1}))))" for i in range(1, rounds + 1)]
+    return f"WITH RECURSIVE {GEO}, {DEADLOCK}, {', '.join(parts)} SELECT id, id IN (SELECT id FROM r) AS notified, id IN (SELECT id FROM f{rounds}) AS free FROM v"
+
+
+def supersteps(n: int = 6) -> str:
+    """A ring of ten: each step edges gain their source's value and vertices what their edges hold."""
+    parts = ["v0 AS (SELECT i AS id, i AS value FROM range(10) r(i)), e0 AS (SELECT i AS src, (i + 1) % 10 AS dst, 0.0::DOUBLE AS w FROM range(10) r(i))"]
+    for i in range(1, n + 1):
+        parts += [f"e{i} AS MATERIALIZED (SELECT src, dst, w + value AS w FROM e{i - 1} JOIN v{i - 1} ON id = src)", f"v{i} AS MATERIALIZED (SELECT id, value + coalesce(sum(w), 0)::BIGINT AS value FROM v{i - 1} LEFT JOIN e{i} ON dst = id GROUP BY id, value)"]
+    return f"WITH {', '.join(parts)} SELECT id, value FROM v{n}"
+
+
 SQL = {
     "quality_partition_loads": f"WITH {QUALITY} SELECT part, vertices, real_load, sym_load FROM p",
     "quality_edge_cut": f"""WITH {QUALITY}, z AS (SELECT sum(real_load)::BIGINT AS e, sum(sym_load)::BIGINT AS m, sum(lr)::BIGINT AS lr, sum(ls)::BIGINT AS ls FROM p)
@@ -158,19 +297,19 @@ SQL = {
     "friends_list": f"""WITH {FLOW}, n AS (SELECT src, dst FROM e WHERE src <> dst), f AS (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS friends FROM n GROUP BY src) SELECT n.src, n.dst, friends FROM n JOIN f ON f.src = n.src""",
     "placement_hash": f"WITH {SUPPLY}, {VERTS} SELECT id, abs(id % 16)::INT AS part, (abs(id % 16) % 3)::INT AS worker FROM v",
     "placement_label": f"WITH {SUPPLY}, {VERTS} SELECT id, (id % {K})::INT AS part, (id % {K} % 3)::INT AS worker FROM v",
-    "pagerank_simple": pagerank(3),
-    "pagerank_walk": walk(SUPPLY, 3, "0.15::DOUBLE / (SELECT count(*) FROM v)"),
-    "rwr": walk(FLOW, 3, "CASE WHEN v.id % 10 = 1 THEN 0.15::DOUBLE / (SELECT count(*) FROM v WHERE id % 10 = 1) ELSE 0 END"),
+    "pagerank_simple": pagerank(),
+    "pagerank_walk": walk(SUPPLY, "0.15::DOUBLE / (SELECT count(*) FROM v)"),
+    "rwr": walk(FLOW, "CASE WHEN v.id % 10 = 1 THEN 0.15::DOUBLE / (SELECT count(*) FROM v WHERE id % 10 = 1) ELSE 0 END"),
     "connected_components": f"WITH RECURSIVE {CHAIN}, {VERTS}, {COMPONENTS}",
     "connected_components_geo": f"WITH RECURSIVE {GEO}, {VERTS}, {COMPONENTS}",
-    "sssp": f"""WITH RECURSIVE {CHAIN}, p AS (SELECT 1::BIGINT AS id, 0.0::DOUBLE AS distance WHERE 1 IN (SELECT src FROM e UNION ALL SELECT dst FROM e) UNION ALL SELECT e.dst, distance + 1 + (e.src * 31 + e.dst) % 10 FROM p JOIN e ON e.src = p.id)
-        SELECT id, min(distance) AS distance FROM p GROUP BY id""",
+    "sssp": f"""WITH RECURSIVE {CHAIN}, {VERTS}, p AS (SELECT 1::BIGINT AS id, 0.0::DOUBLE AS distance WHERE 1 IN (SELECT src FROM e UNION ALL SELECT dst FROM e) UNION ALL SELECT e.dst, distance + 1 + (e.src * 31 + e.dst) % 10 FROM p JOIN e ON e.src = p.id)
+        SELECT v.id, coalesce(min(distance), 1.7976931348623157e308) AS distance FROM v LEFT JOIN p ON p.id = v.id GROUP BY v.id""",
     "sssp_hops": f"""WITH RECURSIVE {SUPPLY}, {VERTS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), p AS (SELECT 1::BIGINT AS id, 0 AS hops UNION SELECT b.dst, hops + 1 FROM p JOIN b ON b.src = p.id WHERE hops < 8)
         SELECT v.id, coalesce(min(hops)::DOUBLE, 1.7976931348623157e308) AS distance FROM v LEFT JOIN p ON p.id = v.id GROUP BY v.id""",
     "max_propagation": f"""WITH RECURSIVE {GEO}, {VERTS}, a AS (SELECT id, id AS origin FROM v UNION SELECT e.dst, a.origin FROM a JOIN e ON e.src = a.id), o AS (SELECT id, count(e.dst) AS d FROM v LEFT JOIN e ON e.src = v.id GROUP BY id)
         SELECT a.id, max(o.d) AS value FROM a JOIN o ON o.id = a.origin GROUP BY a.id""",
     "triangle_closing": f"""WITH {FLOW}, t AS (SELECT a.dst AS id, b.dst AS candidate, count(*) AS common FROM e a JOIN e b ON a.src = b.src WHERE a.dst <> b.dst GROUP BY 1, 2 HAVING count(*) >= 2)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY common DESC, candidate)::INT AS rank FROM t) WHERE rank <= 20""",
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY common DESC, candidate)::INT AS rank FROM t""",
     "clustering_coefficient": f"{flow(CLUSTER)} SELECT id, degree, links, round(CASE WHEN degree > 1 THEN links / (degree * (degree - 1)) ELSE 0 END, 9)::DOUBLE AS cc FROM cc",
     "cc_histogram": f"{flow(CLUSTER)} SELECT {BUCKET} AS bucket, count(*) AS n FROM cc GROUP BY 1",
     "topk_neighbors": f"{flow()} SELECT * FROM (SELECT src AS id, dst AS neighbour, deg, row_number() OVER (PARTITION BY src ORDER BY deg DESC, dst)::INT AS rank FROM s JOIN g ON g.id = s.dst) WHERE rank <= 3",
@@ -191,5 +330,23 @@ SQL = {
     "lp_migrate": f"{sup(FIRST, ASKS, CHANCE)} SELECT id, cur, CASE WHEN moved THEN nxt ELSE cur END AS part FROM ad",
     "lp_first_partition": f"WITH {HUB_FIRST} SELECT id, coalesce(cur, -1) AS cur, coalesce(nxt, -1) AS nxt FROM x",
     "lp_first_migration": f"WITH {HUB_FIRST} SELECT id, coalesce(nxt, cur, floor({u(1, 0, 'left', 'id')} * {K})::INT) AS part FROM x",
+    "lp_label_histogram_weighted": f"{sup()} SELECT src AS id, part AS label, sum(CASE WHEN is_virtual THEN 1 ELSE 2 END)::BIGINT AS n FROM s JOIN l ON l.id = s.dst GROUP BY 1, 2",
+    "partition_edge_cycles": cycles("edge", 2, HUB0),
+    "partition_vertex_cycles": cycles("vertex", 2, HUB0),
+    "partition_baseline_cycles": cycles("baseline", 3, UNIFORM0, first=False),
+    "partition_hybrid_cycles": cycles("baseline", 2, HUB0),
+    "partition_weighted_cycles": cycles("edge", 2, UNIFORM0, weight=2, directed=False, first=False),
+    "partition_regrow_cycles": cycles("edge", 2, GROW0, k=K + 2, first=False),
+    "partition_edge": cycles("edge", 40, HUB0, settle=True),
+    "partition_vertex": cycles("vertex", 40, HUB0, settle=True),
+    "partition_baseline": cycles("baseline", 40, UNIFORM0, first=False, settle=True),
+    "partition_hybrid": cycles("baseline", 40, HUB0, settle=True),
+    "partition_report": report({"ALGORITHM": "given"}),
+    **{f"sample_{kind}": samples(kind) for kind in ("rd", "hd", "cc", "gd")},
+    "deadlock_detection": deadlock(),
+    "checkpoint_supersteps": supersteps(),
+    "identity": f"WITH {FLOW} SELECT src, dst FROM e",
+    "aggregate_overwrite": f"WITH {SUPPLY} SELECT src, arg_max((1 + (src * 31 + dst) % 10)::DOUBLE, dst) AS last_value FROM e GROUP BY src",
+    "aggregate_map_merge": f"WITH {SUPPLY}, {VERTS} SELECT d AS key, count(*) AS total FROM (SELECT id, count(e.dst) AS d FROM v LEFT JOIN e ON e.src = v.id GROUP BY id) GROUP BY d",
     "master_accumulate": "SELECT i::INT AS step, coalesce(sum(j / 2.0 + 1), 0)::DOUBLE AS total FROM range(11) r(i) LEFT JOIN range(11) q(j) ON j < i GROUP BY i",
 }

@@ -105,23 +105,45 @@ def communication(stats: DataFrame) -> DataFrame:
     return s.select("cv_real", "cv_real_max", (F.col("cv_real") / F.col("cv_real_max")).alias("cv_real_share"), "cv_sym", "cv_sym_max", (F.col("cv_sym") / F.col("cv_sym_max")).alias("cv_sym_share"))
 
 
-def report(sym: DataFrame, labels: DataFrame, k: int, more: dict | None = None) -> DataFrame:
-    """metric, value (strings) in the order of a run report; more are run facts (algorithm, times, parameters)."""
+#: Lines of a run report in their order, as fixed values of its format; an empty one is a blank line.
+JOB = ("JOB ID", "JOB NAME", "WORKERS", "ALGORITHM", "GRAPH", "VERTICES", "REAL EDGES", "VIRTUAL EDGES", "PARITIONS", "REAL LOADS", "VIRTUAL LOADS", "VIRTUAL COUNTS", "REAL KLU", "VIRTUAL KLU", "VIRTUAL COUNT KLU", "REAL AVGD KLU", "VIRTUAL AVGD KLU", "")
+REAL = (
+    "REAL E MAXNORMLOAD", "REAL E MAXMINLOAD", "REAL EB JSD", "REAL E KLU", "REAL V MAXNORMLOAD", "REAL V MAXMINLOAD", "REAL VB JSD", "REAL V KLU", "REAL AVGD MAXNORM", "REAL AVGD MAXMIN", "REAL AVGDB JSD", "REAL AVGD KLU",
+    "REAL EC PCT", "REAL COMMVOL PCT", "REAL LOCE PCT", "REAL EC", "REAL COMMVOL", "REAL LOCE", "REAL COMMVOL NORMF", "REAL SCORE",
+)
+VIRTUAL = (
+    "VIRTUAL E MAXNORM LOAD", "VIRTUAL E MAXMIN LOAD", "VIRTUAL ED JSD", "VIRTUAL E KLU", "VIRTUAL V MAXNORM LOAD", "VIRTUAL V MAXMIN LOAD", "VIRTUAL VB JSD", "VIRTUAL V KLU", "VIRTUAL AVGD MAXNORM", "VIRTUAL AVGD MAXMIN", "VIRTUAL AVGDB JSD", "VIRTUAL AVGD KLU",
+    "VIRTUAL EC PCT", "VIRTUAL COMMVOL PCT", "VIRTUAL LOCE PCT", "VIRTUAL EC", "VIRTUAL COMMVOL", "VIRTUAL LOCE", "VIRTUAL COMMVOL NORMF",
+)
+RUN = (
+    "", "SAMPLING START", "SAMPLING END", "SAMPLING CYCLES", "SAMPLING EXTRA", "LP START", "LP END", "LP CYCLES", "TOT MIGRATIONS", "", "INITIAL MESSAGES", "SAMPLING MESSAGES", "LP MESSAGES", "SHUTDOWN MESSAGES", "TOTAL MESSAGES", "",
+    "INPUT TIME (not included in total)", "INITIALIZE TIME", "SETUP TIME", "Initializing algorithm time", "LP time", "Avg. LP cycle time", "Sampling time", "Avg. Sampling cycle time", "TOTAL TIME", "OUT DEGREE THRESHOLD", "BETA", "SIGMA", "TAU", "SAMPLING_ERROR",
+)
+LINES = (*JOB, *REAL, *VIRTUAL, *RUN)
+
+
+def report(sym: DataFrame, labels: DataFrame, k: int, facts: dict | None = None) -> DataFrame:
+    """line, metric, value (strings) of a run report's 87 lines; facts tell of the run (algorithm, times, messages, parameters)."""
     stats = with_average_degree(part_stats(sym, labels, k)).orderBy("part").collect()  # k rows
     spark = sym.sparkSession
     kept = spark.createDataFrame(stats)
     b, c, v = balance(kept, k).first(), cuts(kept).first(), communication(kept).first()
     d = {r.measure: r for r in divergences(kept, ["real_load", "sym_load", "vertices", "avg_real", "avg_sym"], k).collect()}
-    rows: list[tuple[str, object]] = [(str(a), x) for a, x in (more or {}).items()]
-    rows += [("VERTICES", sum(s.vertices for s in stats)), ("REAL EDGES", sum(s.real_load for s in stats)), ("VIRTUAL EDGES", sum(s.sym_load for s in stats)), ("PARTITIONS", k)]
-    rows += [(n, "_".join(str(s[f]) for s in stats)) for n, f in (("REAL LOADS", "real_load"), ("VIRTUAL LOADS", "sym_load"), ("VERTEX COUNTS", "vertices"))]
-    for kind, load, avg in (("REAL", "real_load", "avg_real"), ("VIRTUAL", "sym_load", "avg_sym")):
-        e, a = ("edge", "avg") if kind == "REAL" else ("sym", "avg_sym")
-        s = "real" if kind == "REAL" else "sym"
-        rows += [
-            (f"{kind} E MAXNORMLOAD", b[f"{e}_max_norm"]), (f"{kind} E MAXMINLOAD", b[f"{e}_max_min"]), (f"{kind} EB JSD", d[load].jsd), (f"{kind} E KLU", d[load].kl_log_k),
-            (f"{kind} V MAXNORMLOAD", b.vertex_max_norm), (f"{kind} V MAXMINLOAD", b.vertex_max_min), (f"{kind} VB JSD", d["vertices"].jsd), (f"{kind} V KLU", d["vertices"].kl_log_k),
-            (f"{kind} AVGD MAXNORM", b[f"{a}_max_norm"]), (f"{kind} AVGD MAXMIN", b[f"{a}_max_min"]), (f"{kind} AVGDB JSD", d[avg].jsd), (f"{kind} AVGD KLU", d[avg].kl_abs),
-            (f"{kind} EC PCT", c[f"cut_{s}_share"]), (f"{kind} COMMVOL PCT", v[f"cv_{s}_share"]), (f"{kind} LOCE PCT", c[f"local_{s}_share"]), (f"{kind} EC", c[f"cut_{s}"]), (f"{kind} COMMVOL", v[f"cv_{s}"]), (f"{kind} LOCE", c[f"local_{s}"]), (f"{kind} COMMVOL NORMF", v[f"cv_{s}_max"]),
-        ]
-    return spark.createDataFrame([(i, m, str(x)) for i, (m, x) in enumerate(rows)], "line int, metric string, value string").orderBy("line").select("metric", "value")
+    joined = lambda f: "".join(f"{s[f]}_" for s in stats)
+    three, six, long = "{:.3f}".format, "{:.6f}".format, "{:.8f}".format
+    values: dict[tuple[int, str], str] = {}
+
+    def put(names: tuple[str, ...], first: int, found: list) -> None:
+        values.update(((first + i, n), str(x)) for i, (n, x) in enumerate(zip(names, found, strict=True)))
+
+    facts = facts or {}
+    put(JOB[5:17], 5, [sum(s.vertices for s in stats), sum(s.real_load for s in stats), sum(s.sym_load for s in stats), k, joined("real_load"), joined("sym_load"), joined("vertices"),
+        *(long(d[m].kl_log_k) for m in ("real_load", "sym_load", "vertices")), *(long(d[m].kl_abs) for m in ("avg_real", "avg_sym"))])
+    for names, first, load, e, avg, s in ((REAL, len(JOB), "real_load", "edge", "avg", "real"), (VIRTUAL, len(JOB) + len(REAL), "sym_load", "sym", "avg_sym", "sym")):
+        put(names[:19], first, [
+            three(b[f"{e}_max_norm"]), three(b[f"{e}_max_min"]), six(d[load].jsd), six(d[load].kl_log_k), three(b.vertex_max_norm), three(b.vertex_max_min), six(d["vertices"].jsd), six(d["vertices"].kl_log_k),
+            three(b[f"{avg}_max_norm"]), three(b[f"{avg}_max_min"]), six(d[f"avg_{s}"].jsd), six(d[f"avg_{s}"].kl_abs), three(c[f"cut_{s}_share"]), three(v[f"cv_{s}_share"]), three(c[f"local_{s}_share"]),
+            c[f"cut_{s}"], v[f"cv_{s}"], c[f"local_{s}"], v[f"cv_{s}_max"],
+        ])
+    rows = [(i, n, values[i, n] if (i, n) in values else str(facts.get(n, "")) if n else None) for i, n in enumerate(LINES)]
+    return spark.createDataFrame(rows, "line int, metric string, value string").orderBy("line")

@@ -7,6 +7,7 @@ target size on average. If nobody joins, all sampled vertices ask again.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -18,8 +19,10 @@ from ..operators.triangles import clustering_coefficient
 from ..plans.bsp import cut
 from . import initial
 
-#: Up to so many sampled vertices are dealt to the labels in turn; more are dealt by hash.
-IN_TURN = 100_000
+#: Hash ranges in which sampled vertices are ranked on their own, to be dealt to the labels in turn.
+RANGES = 1024
+#: Vertices of which a list may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,10 @@ class Sampling:
     cycles: int = 50
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def seeds(sym: DataFrame, s: Sampling, seed: int = 1) -> DataFrame:
     if s.kind == "hd":
         found = initial.highest_degree_seeds(sym, s.sigma, seed)
@@ -45,45 +52,59 @@ def seeds(sym: DataFrame, s: Sampling, seed: int = 1) -> DataFrame:
     return found.select("id")
 
 
-def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1) -> tuple[DataFrame, bool]:
-    """(id, cycle) of the sampled vertices, and whether the target size was reached."""
-    d = cut(degrees(sym).select("id", "deg"), "sa-deg")
+def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame | None = None) -> tuple[DataFrame, bool, dict]:
+    """(id, cycle) of the sampled vertices, whether the target size was reached, and facts of the run."""
+    began = time.time()
+    d = degree if degree is not None else cut(degrees(sym), "sa-deg")
     n = d.count()
     target = max(k, initial.share_count(s.beta, n))
     taken = cut(seeds(sym, s, seed).withColumn("cycle", F.lit(0)), "sa")
     spread = initial.distribution_probabilities(sym, s.sigma).select(F.col("degree").alias("deg"), "spread_p") if s.kind == "gd" else None
-    active = taken.select("id")
+    # Each edge once with the degree of the vertex that is asked, so a cycle joins no degrees.
+    known = cut(sym.select(F.col("src").alias("by"), F.col("dst").alias("id")).join(_small(d.select("id", "deg"), n), "id").select("by", "id", "deg"), "sa-known")
+    active, size, sent, cycles, extra, worked = taken.select("id"), taken.count(), 0, 0, 0, None
+    asking = size
     for c in range(1, s.cycles + 1):
-        size = taken.count()
         if size >= target:
-            return taken, True
-        asked = sym.select(F.col("src").alias("by"), F.col("dst").alias("id")).join(active.select(F.col("id").alias("by")), "by").join(taken.select("id"), "id", "left_anti").join(d, "id")
+            worked = True
+            break
+        cycles = c
+        asked_of = known.join(_small(active.select(F.col("id").alias("by")), asking), "by").join(_small(taken.select("id"), size), "id", "left_anti")
         if spread is not None:
-            told = asked.join(spread, "deg").filter(uniform(seed, c, "spread", F.col("by"), F.col("id")) < F.col("spread_p"))
+            told = asked_of.join(spread, "deg").filter(uniform(seed, c, "spread", F.col("by"), F.col("id")) < F.col("spread_p"))
         else:
             order = Window.partitionBy("by").orderBy(F.desc("deg"), "id")
-            told = asked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= s.tau)
+            told = asked_of.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= s.tau)
         told = cut(told.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "sa-told")
         notified = told.agg(F.sum("n")).first()[0] or 0
+        sent += notified
         chance = min(1.0, (target - size) / notified) if notified else 0.0
         joined = cut(told.filter(uniform(seed, c, "join", F.col("id")) < F.lit(chance)).select("id", F.lit(c).alias("cycle")), "sa-new")
-        if joined.isEmpty():
+        new = joined.count()
+        if not new:
             if not notified and c > 1:
-                return taken, False
-            active = taken.select("id")
+                worked = False
+                break
+            active, asking, extra = taken.select("id"), size, extra + 1
             continue
-        taken = cut(taken.union(joined), "sa")
-        active = joined.select("id")
-    return taken, taken.count() >= target
+        taken = taken.union(joined)  # one small table a cycle
+        size, active, asking = size + new, joined.select("id"), new
+    if worked is None:
+        worked = size >= target
+    took = int((time.time() - began) * 1000)
+    return taken, worked, {"Sampling time": took, "SAMPLING CYCLES": cycles, "Avg. Sampling cycle time": took / max(1, cycles), "SAMPLING MESSAGES": sent, "SAMPLING EXTRA": extra}
 
 
-def sample_labels(sym: DataFrame, s: Sampling, k: int, seed: int = 1) -> tuple[DataFrame, bool]:
-    """(id, part) with null for vertices outside the sample, and whether sampling worked; no label stays empty."""
-    taken, ok = sample(sym, s, k, seed)
-    draw = uniform(seed, 0, "sampled", F.col("id"))
-    if taken.count() <= IN_TURN:
-        part = (F.row_number().over(Window.orderBy(draw, "id")) - 1) % k
-    else:
-        part = F.floor(draw * k).cast("int")
-    named = taken.select("id", part.alias("part"))
-    return degrees(sym).select("id").join(named, "id", "left"), ok
+def sample_labels(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame | None = None) -> tuple[DataFrame, bool, dict]:
+    """(id, part) with null for vertices outside the sample, whether sampling worked, and its facts; no label stays empty.
+
+    The sampled are dealt to the labels in turn, in the order of a hash: ranked within ranges of the hash, each range
+    going on where the one before ends."""
+    taken, ok, facts = sample(sym, s, k, seed, degree)
+    drawn = cut(taken.select("id", uniform(seed, 0, "sampled", F.col("id")).alias("u")).withColumn("range", F.floor(F.col("u") * RANGES).cast("int")), "sa-drawn")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
+    offsets = drawn.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("u", "id"))).join(F.broadcast(offsets), "range")
+    named = ranked.select("id", F.pmod(F.col("offset") + F.col("rank") - 1, F.lit(k)).cast("int").alias("part"))
+    every = degree if degree is not None else degrees(sym)
+    return every.select("id").join(named, "id", "left"), ok, facts

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
+from . import fixtures, format_queries
 from .graph import dedup, degrees, symmetrize, vertices
 from .operators import components, convert, deadlock, paths, ranks, triangles
 from .operators import degrees as deg
 from .partition import initial, loop, quality, sampling
 from .partition import propagation as lp
-from .plans.bsp import cut
+from .plans.bsp import cut, discard, leaves_result
 from .sources import readers
 
 K = 4
@@ -122,6 +122,21 @@ def message_delivery(s, d):
     return deg.deliver_messages(fixtures.weighted(fixtures.supply(s, d)))
 
 
+def aggregate_overwrite(s, d):
+    return deg.overwrite(fixtures.weighted(fixtures.supply(s, d)), "src", "dst", "value")
+
+
+def aggregate_map_merge(s, d):
+    """Degree histograms of the vertices of each label, merged."""
+    e = fixtures.supply(s, d)
+    maps = deg.out_degree(e).groupBy((F.col("id") % K).alias("part"), "out_degree").count().groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("out_degree", "count"))).alias("m"))
+    return deg.merge_maps(maps, "m")
+
+
+def identity(s, d):
+    return convert.identity(fixtures.user_flow(s, d))
+
+
 def aggregate_kinds(s, d):
     return deg.aggregate_kinds(fixtures.weighted(fixtures.supply(s, d)), "src", "value")
 
@@ -160,16 +175,16 @@ def placement_label(s, d):
 
 
 def pagerank_simple(s, d):
-    return _r(ranks.pagerank(fixtures.supply(s, d), 3), "rank")
+    return _r(ranks.pagerank(fixtures.supply(s, d)), "rank")
 
 
 def pagerank_walk(s, d):
-    return _r(ranks.random_walk(fixtures.supply(s, d), 3, tolerance=0.0)[0], "rank")
+    return _r(ranks.random_walk(fixtures.supply(s, d))[0], "rank")
 
 
 def rwr(s, d):
     e = fixtures.user_flow(s, d)
-    return _r(ranks.random_walk(e, 3, tolerance=0.0, sources=vertices(e).filter("id % 10 = 1"))[0], "rank")
+    return _r(ranks.random_walk(e, sources=vertices(e).filter("id % 10 = 1"))[0], "rank")
 
 
 def connected_components(s, d):
@@ -252,6 +267,10 @@ def lp_label_histogram(s, d):
     return lp.histogram(*_supply(s, d))
 
 
+def lp_label_histogram_weighted(s, d):
+    return lp.histogram(*_supply(s, d), weight=2)
+
+
 def _first(s, d, o):
     sym, labels = _supply(s, d)
     g = cut(degrees(sym), "q-deg")
@@ -349,14 +368,45 @@ def partition_regrow(s, d):
     return loop.partition(e, lp.Objective("edge", K + 2), "given", start=start, change=2).labels
 
 
+def _steps(s, d, objective, init, limit, **more):
+    return loop.partition(fixtures.supply(s, d), objective, init, limit=limit, **more).labels
+
+
+def partition_edge_cycles(s, d):
+    """The first two cycles, which SQL can follow; likewise the others."""
+    return _steps(s, d, EDGE, "hub", 2)
+
+
+def partition_vertex_cycles(s, d):
+    return _steps(s, d, VERTEX, "hub", 2)
+
+
+def partition_baseline_cycles(s, d):
+    return _steps(s, d, BASELINE, "uniform", 3)
+
+
+def partition_hybrid_cycles(s, d):
+    return _steps(s, d, BASELINE, "hub", 2)
+
+
+def partition_weighted_cycles(s, d):
+    """Real edges count twice and the graph is undirected."""
+    return _steps(s, d, lp.Objective("edge", K, weight=2, directed=False), "uniform", 2)
+
+
+def partition_regrow_cycles(s, d):
+    start = fixtures.labels_mod(vertices(fixtures.supply(s, d)), K)
+    return _steps(s, d, lp.Objective("edge", K + 2), "given", 2, start=start, change=2)
+
+
 def partition_report(s, d):
     sym, labels = _supply(s, d)
-    return quality.report(sym, labels, K, {"ALGORITHM": "given", "OBJECTIVE": "edge"})
+    return quality.report(sym, labels, K, {"ALGORITHM": "given"})
 
 
 def _sample(s, d, kind):
     sym = cut(symmetrize(fixtures.user_flow(s, d)), "q-sym")
-    return sampling.sample(sym, sampling.Sampling(kind), K)[0]
+    return sampling.sample(sym, sampling.Sampling(kind, cycles=6), K)[0]
 
 
 def sample_rd(s, d):
@@ -376,8 +426,12 @@ def sample_gd(s, d):
 
 
 def deadlock_detection(s, d):
-    e = fixtures.user_flow(s, d).filter("src < dst").withColumn("tag", (F.col("src") + F.col("dst")) % 3)
-    return deadlock.deadlock(e, 1)
+    """Customers wait for nations, nations for regions, the regions 0 and 1 for their even nations, and 99 for all nations."""
+    e = fixtures.geo(s, d).withColumn("tag", F.col("src") % 3)
+    nation = s.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("region"))
+    back = nation.filter("region < 2 AND id % 2 = 0").select(F.col("region").alias("src"), F.col("id").alias("dst"), F.lit(0).cast("long").alias("tag"))
+    every = nation.select(F.lit(99).cast("long").alias("src"), F.col("id").alias("dst"), (F.col("id") % 3).alias("tag"))
+    return deadlock.deadlock(e.unionByName(back).unionByName(every), 99)
 
 
 def master_accumulate(s, d):
@@ -401,7 +455,7 @@ def checkpoint_supersteps(s, d):
 
 
 QUERIES = {
-    name: f
-    for name, f in list(globals().items())
-    if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")
+    name: leaves_result(f)
+    for name, f in {**globals(), **format_queries.QUERIES}.items()
+    if callable(f) and getattr(f, "__module__", "") in (__name__, format_queries.__name__) and not name.startswith("_")
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.convert import with_reverse
+from ..plans.bsp import cut
 
 SEPARATOR = "[\t ]+"
 WIDE_SEPARATOR = "[\u0001\t ]+"
@@ -101,12 +102,13 @@ EDGE_LISTS = {
 def densify(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with long ids, dictionary(name, id)) of an edge list with names as ids.
 
-    Ids are hashes of the names (60 bits), so no global order is needed; two names of one hash fail the job."""
-    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("id", F.shiftrightunsigned(F.xxhash64("name"), 4))
-    clash = names.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
-    names = clash.select("name", F.when(F.col("n") > 1, F.raise_error(F.lit("two names have one id"))).otherwise(F.col("id")).alias("id"))
-    hashed = lambda c: F.shiftrightunsigned(F.xxhash64(c), 4)
-    return edges.withColumns({"src": hashed("src"), "dst": hashed("dst")}), names
+    The names are written once, in partitions that each count from their own start, so ids are unique however
+    many names there are and no task orders them all; the dictionary is joined to both ends."""
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    names = cut(names.withColumn("id", F.monotonically_increasing_id()), "names")
+    one, two = names.select(F.col("name").alias("src"), F.col("id").alias("_s")), names.select(F.col("name").alias("dst"), F.col("id").alias("_d"))
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.join(one, "src").join(two, "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *rest), names
 
 
 def generated_vertices(spark: SparkSession, n: int = 10, reverse: bool = False) -> DataFrame:

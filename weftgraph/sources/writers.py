@@ -38,6 +38,12 @@ def write_adjacency(edges: DataFrame, path: str, blank_sinks: bool = True, heade
     (rows if blank_sinks else rows.filter("value <> ''")).write.mode("append").text(path)
 
 
+def write_adjacency_no_values(edges: DataFrame, path: str, delimiter: str = "\t") -> None:
+    """``id``, the delimiter twice, then the neighbours with one between; an id alone has both delimiters too."""
+    rows = adjacency(edges, delimiter)
+    rows.select(F.concat(F.col("id").cast("string"), F.lit(delimiter * 2), "neighbours").alias("value")).write.text(path)
+
+
 def write_nothing(df: DataFrame) -> None:
     """Run the job and keep no output."""
     df.write.format("noop").mode("overwrite").save()
@@ -45,28 +51,38 @@ def write_nothing(df: DataFrame) -> None:
 
 def write_report(report: DataFrame, path: str) -> None:
     """``KEY,value`` lines in one file, in order; a report is a few dozen rows."""
-    report.coalesce(1).select(F.concat_ws(",", "metric", "value").alias("value")).write.text(path)
+    report.orderBy("line").coalesce(1).select(F.concat_ws(",", F.when(F.col("metric") != "", F.col("metric")), "value").alias("value")).write.text(path)
 
 
 def write_degree_distribution(distribution: DataFrame, path: str) -> None:
     write_columns(distribution, path, ["degree", "n"], ",")
 
 
-#: Columns of a run summary and the report keys they come from.
+#: Columns of a run summary after its mode, and the report keys they come from.
 SUMMARY = {
-    "algorithm": "ALGORITHM", "objective": "OBJECTIVE", "tau": "TAU", "sigma": "SIGMA", "beta": "BETA", "partitions": "PARTITIONS", "vertices": "VERTICES", "real_edges": "REAL EDGES", "virtual_edges": "VIRTUAL EDGES",
-    "total_time": "TOTAL TIME", "lp_time": "LP TIME", "initialize_time": "INITIALIZE TIME", "lp_cycles": "LP CYCLES", "score": "REAL SCORE", "migrations": "TOT MIGRATIONS", "real_max_norm": "REAL E MAXNORMLOAD", "virtual_max_norm": "VIRTUAL E MAXNORMLOAD",
-    "vertex_max_norm": "REAL V MAXNORMLOAD", "real_cut": "REAL EC", "real_cut_share": "REAL EC PCT", "virtual_cut": "VIRTUAL EC", "virtual_cut_share": "VIRTUAL EC PCT", "vertex_jsd": "REAL VB JSD", "real_jsd": "REAL EB JSD", "virtual_jsd": "VIRTUAL EB JSD",
+    "job_id": "JOB ID", "workers": "WORKERS", "file": "GRAPH", "algorithm": "ALGORITHM", "tau": "TAU", "sigma": "SIGMA", "beta": "BETA", "partitions": "PARITIONS", "vertices": "VERTICES", "real_edges": "REAL EDGES", "virtual_edges": "VIRTUAL EDGES",
+    "total_time": "TOTAL TIME", "sampling_time": "Sampling time", "lp_time": "LP time", "score": "REAL SCORE", "migrations": "TOT MIGRATIONS", "real_max_norm": "REAL E MAXNORMLOAD", "virtual_max_norm": "VIRTUAL E MAXNORM LOAD",
+    "vertex_max_norm": "REAL V MAXNORMLOAD", "real_cut": "REAL EC", "real_cut_share": "REAL EC PCT", "virtual_cut": "VIRTUAL EC", "virtual_cut_share": "VIRTUAL EC PCT", "vertex_jsd": "REAL VB JSD", "real_jsd": "REAL EB JSD", "virtual_jsd": "VIRTUAL ED JSD",
 }
 
 
-def collate_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row a report file under path, one column for each summary field."""
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value").filter("value LIKE '%,%'")
-    pairs = lines.select("file", F.substring_index("value", ",", 1).alias("key"), F.regexp_extract("value", "^[^,]*,(.*)$", 1).alias("v"))
-    return pairs.groupBy("file").agg(*[F.max(F.when(F.col("key") == k, F.col("v"))).alias(c) for c, k in SUMMARY.items()])
+def collate_reports(spark: SparkSession, path: str, mode: str = "") -> DataFrame:
+    """mode and a column for each summary field, one row a report file under path; degree distributions (GDD in the name) are left out."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("name"), "value").filter("value LIKE '%,%' AND name NOT LIKE '%GDD%'")
+    pairs = lines.select("name", F.substring_index("value", ",", 1).alias("key"), F.regexp_extract("value", "^[^,]*,(.*)$", 1).alias("v"))
+    rows = pairs.groupBy("name").agg(*[F.max(F.when(F.col("key") == k, F.col("v"))).alias(c) for c, k in SUMMARY.items()])
+    return rows.select(F.lit(mode).alias("mode"), *SUMMARY)
+
+
+#: Fields of a timing row; what this engine has no counter for stays empty.
+TIMING = (
+    "JOB ID", "DATE", "JOB NAME", "VERTICES", "VIRTUAL EDGES", "REAL EDGES", "EDGE RATIO", "WORKERS", "PARITIONS", "LP CYCLES", "Initializing algorithm time", "FIRST LP TIME", "LP time", "INPUT TIME (not included in total)", "Avg. LP cycle time",
+    "TOT MIGRATIONS", "TOTAL MESSAGES", "VIRTUAL MEMORY BYTES", "PHYSICAL MEMORY BYTES", "COMMITTED HEAP BYTES", "MAP INPUT BYTES", "CPU MILLISECONDS", "OUT DEGREE THRESHOLD",
+)
 
 
 def timing_row(facts: dict) -> str:
-    """The run's facts as one line, fields separated by semicolons."""
-    return ";".join(str(facts.get(k, "")) for k in SUMMARY.values())
+    """The run's 23 facts as one line, fields separated by semicolons."""
+    if facts.get("REAL EDGES"):
+        facts = {"EDGE RATIO": f"{facts.get('VIRTUAL EDGES', 0) / facts['REAL EDGES']:.3f}"} | facts
+    return ";".join(str(facts.get(k, "")) for k in TIMING)
