@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.bsp import cut as materialize
 from ..plans.bsp import discard, kept, leaves_result, new_path, scratch
 
-__all__ = ["SPACE", "WORD", "broadcast_if_small", "discard", "fold", "fresh", "keep_rows", "kept", "leaves_result", "materialize", "named", "new_path", "row_key", "sampled", "scratch", "table", "text_slices", "worker_cache"]
+__all__ = ["SPACE", "WORD", "broadcast_if_small", "discard", "fold", "fresh", "keep_rows", "kept", "leaves_result", "materialize", "named", "new_path", "row_key", "sampled", "scratch", "small_batches", "table", "text_slices", "worker_cache"]
 
 #: White space of the contracts.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -82,6 +85,18 @@ def text_slices(batch, column: str, max_chars: int = 8_000_000):
         yield batch.slice(start)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Inside, what is written reaches Python in Arrow batches of so many rows, which bounds memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that outlives the task within its Python worker."""
     import sys

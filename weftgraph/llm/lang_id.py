@@ -28,7 +28,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, named, sampled, text_slices, worker_cache
+from .common import fold, materialize, named, sampled, small_batches, text_slices, worker_cache
 
 SAMPLE = 3_000
 #: Documents to learn a language from, where it has so many.
@@ -36,9 +36,9 @@ LEAST = 100
 PIECE = 256
 BITS = 16
 WORDS = r"[^\W\d_]+"
-CACHE = 400_000
+CACHE = 200_000
 #: Numbers in one padded array of likelihoods.
-CELLS = 4_000_000
+CELLS = 1_000_000
 #: Letters of words looked at at once; a longer word is looked at alone.
 LETTERS = 400_000
 
@@ -349,7 +349,7 @@ def language_report(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
             cache[own] = Labeller(model) if model.langs else None
         labeller = cache[own]
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 2_000_000):
                 if labeller is None:
                     best, score = ["und"] * part.num_rows, [0.0] * part.num_rows
                 else:
@@ -358,4 +358,6 @@ def language_report(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
                     best = [model.langs[k] if s > 0 else "und" for k, s in zip(shares.argmax(1), score, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(best), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return materialize(rows.mapInArrow(run, "doc_id long, lang_pred string, score double"), "lang")

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sstable
-from .common import broadcast_if_small, kept, materialize, named, new_path, scratch, text_slices, worker_cache
+from .common import broadcast_if_small, kept, materialize, named, new_path, scratch, small_batches, text_slices, worker_cache
 
 END_ID = 0
 FILE_BYTES = 8_000_000
-CACHE = 150_000
+CACHE = 300_000
 #: Signs that never join a word before them: no letter, number, space or low line.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
@@ -110,21 +110,32 @@ class PieceEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        from itertools import chain
+
         if held := {i for i, t in enumerate(texts) if t and any(x in t for x in self._special)}:
             some = iter(self._encode([texts[i] for i in sorted(held)]))
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in held]))
             return [next(some if i in held else rest) for i in range(len(texts))]
         cache, cut = self._cache, [self._pieces(t or "") for t in texts]
-        new = set().union(*cut).difference(cache)
+        flat = list(chain.from_iterable(cut))
+        found = list(map(cache.get, flat))
+        missing, at = [], -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            missing.append(at)
+        new = {flat[i] for i in missing}
         unsure = set(filter(self._unsure, new))
-        learned = self._learn(list(new - unsure)) | dict.fromkeys(unsure, b"")
-        cache.update(learned)
-        of = cache.__getitem__
-        out = [b"".join(map(of, parts)) for parts in cut]
-        for i in [i for i, parts in enumerate(cut) if not unsure.isdisjoint(parts)] if unsure else ():
-            out[i] = self._encode([texts[i]])[0]
-        for p in learned if len(cache) > CACHE else unsure:  # what came first stays: the frequent pieces are among it
-            del cache[p]
+        learned = self._learn(list(new - unsure))
+        for i in missing:
+            found[i] = learned.get(flat[i], b"")
+        if len(cache) + len(learned) <= CACHE:  # what came first stays: the frequent pieces are among it
+            cache.update(learned)
+        out, at = [], 0
+        for i, parts in enumerate(cut):
+            to = at + len(parts)
+            whole = unsure and not unsure.isdisjoint(parts)
+            out.append(self._encode([texts[i]])[0] if whole else b"".join(found[at:to]))
+            at = to
         if len(self._sign) > 10_000:
             self._sign.clear()
         return out
@@ -240,7 +251,8 @@ def token_report(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     with scratch(spark):
         path = new_path(spark, "sstable")
-        write_shards(docs, path, tokenizer_path, id_col, text_col, special_as_text=special_as_text)
+        with small_batches(spark):
+            write_shards(docs, path, tokenizer_path, id_col, text_col, special_as_text=special_as_text)
         rows = kept(read_shards(spark, path), "sstable-rows")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     files = rows.groupBy("file").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n_tokens").alias("n"))
