@@ -31,7 +31,7 @@ from .common import broadcast_if_small, kept, materialize, named, new_path, scra
 
 END_ID = 0
 FILE_BYTES = 8_000_000
-CACHE = 300_000
+CACHE = 600_000
 #: Signs that never join a word before them: no letter, number, space or low line.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
