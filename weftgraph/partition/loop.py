@@ -94,10 +94,11 @@ def _partition(edges: DataFrame, o: lp.Objective, init, seed: int, limit: int, w
         first_loads = _sums(o, state.drop("moved", "h_cur"))[0]
     first, history, moves, steps, total, loads = time.time(), deque(maxlen=window), 0, 0, 0.0, first_loads
     for step in range(1, limit + 1):
-        chosen = lp.choice(o, rows(state), loads, capacity, v, seed, step)
+        chosen = lp.choice(o, rows(state), loads, capacity, v, seed, step).persist()  # read three times; a lost part is computed again from the state
         wanted = lp.demand(o, chosen).collect()  # at most k
         chance = lp.chances(loads, {r.label: r.demand for r in wanted}, capacity)
         state = _moved(sym, o, lp.admit(chosen, chance, seed, step, [*lp.DEGREES, *lp.count_columns(k)]), v, sum(r.requests for r in wanted), state, "lp")
+        chosen.unpersist()
         loads, n, sent, total = _sums(o, state)
         moves, steps, messages = moves + n, step, messages + sent
         if len(history) == window and max(history) > 0 and abs(1 - total / max(history)) < threshold or not n:
