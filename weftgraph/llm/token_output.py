@@ -31,7 +31,7 @@ from .common import broadcast_if_small, kept, materialize, named, new_path, scra
 
 END_ID = 0
 FILE_BYTES = 8_000_000
-CACHE = 600_000
+CACHE = 350_000
 #: Signs that never join a word before them: no letter, number, space or low line.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 
@@ -87,6 +87,9 @@ class PieceEncoder:
 
         known, out, words, signed, rest = self._cache.get, {}, [], [], []
         for p in pieces:
+            if p.isalpha():
+                words.append(p)
+                continue
             w = p.rstrip(SIGNS)
             if not (w.isalpha() or w[:1] == "\n" and w[1:].isalpha()):
                 rest.append(p)
@@ -96,8 +99,8 @@ class PieceEncoder:
                 signed.append((p, w, known(w)))
         words += {w for _, w, ids in signed if ids is None}.difference(words)
         for glue, some in ((" ", [w for w in words if w[0] != "\n"]), ("", [w for w in words if w[0] == "\n"])):
-            for k in range(0, len(some), 200):
-                part = some[k : k + 200]
+            for k in range(0, len(some), 500):
+                part = some[k : k + 500]
                 ids = np.array(self._tokenizer.encode_batch_fast([glue + glue.join(part)], add_special_tokens=False)[0].ids, "<u2")
                 starts = (np.flatnonzero(self._begins[ids]) * 2).tolist()
                 raw = ids.tobytes()
@@ -124,7 +127,7 @@ class PieceEncoder:
             at = found.index(None, at + 1)
             missing.append(at)
         new = {flat[i] for i in missing}
-        unsure = set(filter(self._unsure, new))
+        unsure = {p for p in new if not p.isalpha() and self._unsure(p)}
         learned = self._learn(list(new - unsure))
         for i in missing:
             found[i] = learned.get(flat[i], b"")
@@ -184,6 +187,7 @@ def _scan(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
+        worker_cache("pieces").clear()  # the encoder's work is done
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             if not content.as_buffer().size:  # a task without documents may leave an empty file
                 continue
@@ -253,7 +257,8 @@ def token_report(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         path = new_path(spark, "sstable")
         with small_batches(spark):
             write_shards(docs, path, tokenizer_path, id_col, text_col, special_as_text=special_as_text)
-        rows = kept(read_shards(spark, path), "sstable-rows")
+        with small_batches(spark, 1):
+            rows = kept(read_shards(spark, path), "sstable-rows")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     files = rows.groupBy("file").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n_tokens").alias("n"))
     before = Window.orderBy("first", "last", "file").rowsBetween(Window.unboundedPreceding, -1)
