@@ -124,7 +124,7 @@ COMPONENTS = f"""b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
   SELECT id, min(label) AS component FROM c GROUP BY id"""
 DIVERGE = "ln(q / ((q + u) / 2))"
 
-def cycles(kind: str, n: int, init: str, k: int = K, weight: int = 1, directed: bool = True, first: bool = True, settle: bool = False) -> str:
+def cycles(kind: str, n: int, init: str | list[str], k: int = K, weight: int = 1, directed: bool = True, first: bool = True, settle: bool = False) -> str:
     """Labels after n cycles of label propagation; init gives l0(id, part), first labels what has none.
 
     With settle the labels of the first cycle, of n at most, in which nothing moves or whose score is within a
@@ -132,7 +132,7 @@ def cycles(kind: str, n: int, init: str, k: int = K, weight: int = 1, directed:
     unit, whole = UNIT[kind]
     whole = "m" if kind == "edge" and not directed else whole
     real = "NOT is_virtual" if directed else "true"
-    parts = [held(x) for x in (SUPPLY, SYM, DEG, TOTALS, init)]
+    parts = [held(x) for x in (SUPPLY, SYM, DEG, TOTALS, init)] if isinstance(init, str) else [*init[:-1], held(TOTALS), held(init[-1])]
     worth = f"CASE WHEN is_virtual THEN 1 ELSE {weight} END"
     cap = f"floor((SELECT {whole} FROM t) * 1.05::DOUBLE / {k} + 0.5)::BIGINT"
 
@@ -181,14 +181,24 @@ GROW0 = f"l0 AS (SELECT id, CASE WHEN {u(1, 0, 'move', 'id')} < 2 / 6.0::DOUBLE
 
 
 def samples(kind: str, n: int = 6, beta: float = 0.15, sigma: float = 0.05, tau: int = 3) -> str:
-    """(id, cycle) after at most n cycles of a sampler."""
+    """(id, cycle) after at most n cycles of a sampler on the flow graph."""
+    return f"WITH {', '.join(sampled(kind, n, FLOW, beta, sigma, tau))} SELECT id, cycle FROM t{n}"
+
+
+#: Labels dealt in turn to the sample; if it stayed too small, random ones to it and to hubs.
+SAMPLED0 = f"""l0 AS (SELECT g.id, CASE WHEN (SELECT count(*) FROM t50) >= (SELECT target FROM w) THEN r.part WHEN r.id IS NOT NULL OR out_deg > (SELECT ceil(sum(out_deg) / count(*)) FROM g) THEN floor({u(1, 0, 'hub', 'g.id')} * {K})::INT END AS part
+    FROM g LEFT JOIN (SELECT id, ((row_number() OVER (ORDER BY {u(1, 0, 'sampled', 'id')}, id) - 1) % {K})::INT AS part FROM t50) r ON r.id = g.id)"""
+
+
+def sampled(kind: str, n: int, graph: str, beta: float = 0.15, sigma: float = 0.05, tau: int = 3) -> list[str]:
+    """The tables of a sampler's run; t{n} has the sample."""
     seeds = {
         "rd": f"SELECT id FROM g WHERE {u(1, 0, 'seed', 'id')} < {sigma}::DOUBLE",
         "hd": f"SELECT y.id FROM g y JOIN cu USING (deg) WHERE before < wanted AND {u(1, 0, 'seed', 'y.id')} < least(1.0::DOUBLE, (wanted - before)::DOUBLE / n)",
         "cc": f"SELECT y.id FROM bu y JOIN cu USING (bucket) WHERE before < wanted AND {u(1, 0, 'seed', 'y.id')} < least(1.0::DOUBLE, (wanted - before)::DOUBLE / n)",
         "gd": f"SELECT id FROM g JOIN pr ON pr.degree = g.deg WHERE {u(1, 0, 'seed', 'id')} < p * {sigma}::DOUBLE * v / (SELECT sum(n * p) FROM pr)",
     }[kind]
-    parts = [held(x) for x in (FLOW, SYM, DEG)]
+    parts = [held(x) for x in (graph, SYM, DEG)]
     if kind == "cc":
         q, cc = CLUSTER.split(",\n  cc AS")
         parts += [held(q), f"cc AS MATERIALIZED{cc}", f"bu AS MATERIALIZED (SELECT id, {BUCKET} AS bucket FROM cc)"]
@@ -198,9 +208,9 @@ def samples(kind: str, n: int = 6, beta: float = 0.15, sigma: float = 0.05, tau:
         parts.append(f"cu AS MATERIALIZED (SELECT {value}, n, coalesce(sum(n) OVER (ORDER BY {value} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT floor(count(*) * {sigma}::DOUBLE)::BIGINT + 1 FROM {of}) AS wanted FROM hi)")
     if kind == "gd":
         parts.append("f AS (SELECT deg AS degree, count(*) AS n FROM g GROUP BY deg), z AS (SELECT sum(n)::DOUBLE AS v FROM f), pr AS MATERIALIZED (SELECT degree, n, n / v AS p, v FROM f, z)")
-    parts += [f"w AS MATERIALIZED (SELECT greatest({K}, floor(count(*) * {beta}::DOUBLE)::BIGINT + 1) AS target FROM g)", f"t0 AS MATERIALIZED (SELECT id, 0 AS cycle FROM ({seeds}))", "a0 AS MATERIALIZED (SELECT id FROM t0)"]
+    parts += [f"w AS MATERIALIZED (SELECT greatest({K}, floor(count(*) * {beta}::DOUBLE)::BIGINT + 1) AS target FROM g)", f"t0 AS MATERIALIZED (SELECT id, 0 AS cycle FROM ({seeds}))", "o0 AS MATERIALIZED (SELECT id FROM t0)"]
     for i in range(1, n + 1):
-        asked = f"SELECT s.src AS asker, s.dst AS id, g.deg FROM s JOIN a{i - 1} a ON a.id = s.src JOIN g ON g.id = s.dst WHERE s.dst NOT IN (SELECT id FROM t{i - 1})"
+        asked = f"SELECT s.src AS asker, s.dst AS id, g.deg FROM s JOIN o{i - 1} a ON a.id = s.src JOIN g ON g.id = s.dst WHERE s.dst NOT IN (SELECT id FROM t{i - 1})"
         if kind == "gd":
             told = f"SELECT q.asker, q.id FROM ({asked}) q JOIN pr ON pr.degree = q.deg WHERE {u(1, i, 'spread', 'q.asker', 'q.id')} < p + (1 - (SELECT max(p) FROM pr)) / 2"
         else:
@@ -209,9 +219,9 @@ def samples(kind: str, n: int = 6, beta: float = 0.15, sigma: float = 0.05, tau:
             f"n{i} AS MATERIALIZED (SELECT id, count(*) AS n FROM ({told}) GROUP BY id)",
             f"j{i} AS MATERIALIZED (SELECT id, {i} AS cycle FROM n{i} WHERE (SELECT count(*) FROM t{i - 1}) < (SELECT target FROM w) AND {u(1, i, 'join', 'id')} < least(1.0::DOUBLE, ((SELECT target FROM w) - (SELECT count(*) FROM t{i - 1}))::DOUBLE / (SELECT sum(n) FROM n{i})))",
             f"t{i} AS MATERIALIZED (SELECT * FROM t{i - 1} UNION ALL SELECT * FROM j{i})",
-            f"a{i} AS MATERIALIZED (SELECT id FROM t{i} WHERE cycle = {i} OR NOT EXISTS (SELECT 1 FROM j{i}))",
+            f"o{i} AS MATERIALIZED (SELECT id FROM t{i} WHERE cycle = {i} OR NOT EXISTS (SELECT 1 FROM j{i}))",
         ]
-    return f"WITH {', '.join(parts)} SELECT id, cycle FROM t{n}"
+    return parts
 
 
 def report(facts: dict[str, str]) -> str:
@@ -341,6 +351,8 @@ SQL = {
     "partition_vertex": cycles("vertex", 40, HUB0, settle=True),
     "partition_baseline": cycles("baseline", 40, UNIFORM0, first=False, settle=True),
     "partition_hybrid": cycles("baseline", 40, HUB0, settle=True),
+    "partition_sampled": cycles("edge", 40, [*sampled("rd", 50, SUPPLY), SAMPLED0], settle=True),
+    "partition_regrow": cycles("edge", 40, GROW0, k=K + 2, first=False, settle=True),
     "partition_report": report({"ALGORITHM": "given"}),
     **{f"sample_{kind}": samples(kind) for kind in ("rd", "hd", "cc", "gd")},
     "deadlock_detection": deadlock(),
