@@ -53,3 +53,21 @@ def test_paths_of_any_length(spark):
     """No number of supersteps ends a search early."""
     chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.id: r.distance for r in paths.shortest_paths(chain, 0).collect()} == {i: float(i) for i in range(61)}
+
+
+def test_a_failing_task_is_run_again(spark):
+    """A task that dies takes nothing with it: ranks and components are those of a run without failures."""
+    from weftgraph.operators import components, ranks
+
+    def dies(batches):
+        from pyspark import TaskContext
+
+        if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() == 1:
+            raise RuntimeError("this task is lost")
+        yield from batches
+
+    e = spark.range(400).select(F.col("id").alias("src"), ((F.col("id") * 7) % 90).alias("dst")).repartition(4)
+    failing = e.mapInArrow(dies, "src long, dst long")
+    for f in (lambda x: ranks.pagerank(x, 5), components.connected_components):
+        want, got = ({r[0]: round(float(r[1]), 12) for r in f(x).collect()} for x in (e, failing))
+        assert got == want and len(got) == 400

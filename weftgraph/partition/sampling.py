@@ -62,7 +62,7 @@ def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame
     spread = initial.distribution_probabilities(sym, s.sigma).select(F.col("degree").alias("deg"), "spread_p") if s.kind == "gd" else None
     # Each edge once with the degree of the vertex that is asked, so a cycle joins no degrees.
     known = cut(sym.select(F.col("src").alias("by"), F.col("dst").alias("id")).join(_small(d.select("id", "deg"), n), "id").select("by", "id", "deg"), "sa-known")
-    active, size, sent, cycles, extra, worked = taken.select("id"), taken.count(), 0, 0, 0, None
+    active, size, sent, cycles, extra, everyone, worked = taken.select("id"), taken.count(), 0, 0, 0, True, None
     asking = size
     for c in range(1, s.cycles + 1):
         if size >= target:
@@ -82,11 +82,12 @@ def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame
         joined = cut(told.filter(uniform(seed, c, "join", F.col("id")) < F.lit(chance)).select("id", F.lit(c).alias("cycle")), "sa-new")
         new = joined.count()
         if not new:
-            if not notified and c > 1:
+            if not notified and everyone:  # nobody is left to ask
                 worked = False
                 break
-            active, asking, extra = taken.select("id"), size, extra + 1
+            active, asking, extra, everyone = taken.select("id"), size, extra + 1, True
             continue
+        everyone = False
         taken = taken.union(joined)  # one small table a cycle
         size, active, asking = size + new, joined.select("id"), new
     if worked is None:

@@ -67,11 +67,11 @@ SUMMARY = {
 
 
 def collate_reports(spark: SparkSession, path: str, mode: str = "") -> DataFrame:
-    """mode and a column for each summary field, one row a report file under path; degree distributions (GDD in the name) are left out."""
+    """mode and a column for each summary field, one row a report file under path; degree distributions (GDD in the name) and other files are left out."""
     lines = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("name"), "value").filter("value LIKE '%,%' AND name NOT LIKE '%GDD%'")
     pairs = lines.select("name", F.substring_index("value", ",", 1).alias("key"), F.regexp_extract("value", "^[^,]*,(.*)$", 1).alias("v"))
     rows = pairs.groupBy("name").agg(*[F.max(F.when(F.col("key") == k, F.col("v"))).alias(c) for c, k in SUMMARY.items()])
-    return rows.select(F.lit(mode).alias("mode"), *SUMMARY)
+    return rows.filter("partitions IS NOT NULL").select(F.lit(mode).alias("mode"), *SUMMARY)
 
 
 #: Fields of a timing row; what this engine has no counter for stays empty.
