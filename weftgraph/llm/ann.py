@@ -32,7 +32,7 @@ SHARD_BYTES = 20_000_000
 QUERIES = 65_536
 DEGREE = 32
 BEAM = 64
-SEARCH_BEAM = 128
+SEARCH_BEAM = 256
 WIDE = 4
 ALPHA = 1.2
 ENTRIES = 48
