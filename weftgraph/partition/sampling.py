@@ -21,6 +21,8 @@ from . import initial
 
 #: Hash ranges in which sampled vertices are ranked on their own, to be dealt to the labels in turn.
 RANGES = 1024
+#: Cycles after which the tables of sampled vertices become one.
+GATHER = 6
 #: Vertices of which a list may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -62,7 +64,7 @@ def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame
     spread = initial.distribution_probabilities(sym, s.sigma).select(F.col("degree").alias("deg"), "spread_p") if s.kind == "gd" else None
     # Each edge once with the degree of the vertex that is asked, so a cycle joins no degrees.
     known = cut(sym.select(F.col("src").alias("by"), F.col("dst").alias("id")).join(_small(d.select("id", "deg"), n), "id").select("by", "id", "deg"), "sa-known")
-    active, size, sent, cycles, extra, everyone, worked = taken.select("id"), taken.count(), 0, 0, 0, True, None
+    active, size, sent, cycles, extra, everyone, parts, worked = taken.select("id"), taken.count(), 0, 0, 0, True, 0, None
     asking = size
     for c in range(1, s.cycles + 1):
         if size >= target:
@@ -75,12 +77,13 @@ def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame
         else:
             order = Window.partitionBy("by").orderBy(F.desc("deg"), "id")
             told = asked_of.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= s.tau)
-        told = cut(told.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "sa-told")
+        told = told.groupBy("id").agg(F.count(F.lit(1)).alias("n")).persist()  # read twice, then gone
         notified = told.agg(F.sum("n")).first()[0] or 0
         sent += notified
         chance = min(1.0, (target - size) / notified) if notified else 0.0
         joined = cut(told.filter(uniform(seed, c, "join", F.col("id")) < F.lit(chance)).select("id", F.lit(c).alias("cycle")), "sa-new")
         new = joined.count()
+        told.unpersist()
         if not new:
             if not notified and everyone:  # nobody is left to ask
                 worked = False
@@ -88,7 +91,9 @@ def sample(sym: DataFrame, s: Sampling, k: int, seed: int = 1, degree: DataFrame
             active, asking, extra, everyone = taken.select("id"), size, extra + 1, True
             continue
         everyone = False
-        taken = taken.union(joined)  # one small table a cycle
+        taken, parts = taken.union(joined), parts + 1
+        if parts % GATHER == 0:
+            taken = cut(taken.coalesce(1) if size + new <= BROADCAST_ROWS else taken, "sa")
         size, active, asking = size + new, joined.select("id"), new
     if worked is None:
         worked = size >= target
